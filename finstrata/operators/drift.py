@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.operators.ordered import neighbours
-from finstrata.session import cut_lineage
+from finstrata.session import cut_lineage, share_code
 
 RECORD_KEY = ("local_path", "statement", "adp_code", "column_name")
 TYPES = ("string", "integer", "decimal", "boolean", "array")
@@ -213,7 +213,7 @@ def drift(landing: DataFrame) -> Drift:
     payloads don't count; a file with nothing else has no fields. Files sent twice under one file_id are one
     file. An empty table gives empty results.
     """
-    files = cut_lineage(file_order(landing))
+    files = cut_lineage(file_order(share_code(landing)))
     link = files.select("fkey", "source", "produced_at", "file_id", "prev_fkey")
     nodes = cut_lineage(file_schemas(landing))
     here = nodes.join(link, "fkey")

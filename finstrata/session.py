@@ -39,3 +39,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "finstrata-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def share_code(df: DataFrame) -> DataFrame:
+    """`df`, with this package on the path of the Python workers its session starts from now on.
+
+    For sessions begun in another folder on machines that all have the package in one place; a
+    cluster whose executors don't gets it by --py-files, as any Python code.
+    """
+    env = df.sparkSession.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+    return df
