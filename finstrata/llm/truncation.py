@@ -148,7 +148,7 @@ def judge(documents: DataFrame) -> DataFrame:
     one text where ends are counted, and have a row each. Other columns are ignored.
     """
     spark = documents.sparkSession
-    lines = normalised(documents.select("doc_id", "source", "text"))
+    lines = cut_lineage(normalised(documents.select("doc_id", "source", "text")))  # read twice; normalising costs more than a copy
     finals = cut_lineage(spark.sql(_FINALS, args={"short": SHORT}, lines=lines))
     counts = spark.sql(_COUNTS, args={"short": SHORT}, lines=lines)
     args = {"stop": SENTENCE_END, "support": SUPPORT, "trusted": SUPPORT_STOP, "never": ALMOST_NEVER, "doubtful": ALMOST_NEVER_DOUBTFUL, "whole": WHOLE, "line": WHOLE_LINE, "few": FEW}
