@@ -43,7 +43,6 @@ SENTENCE_END = r"[.!?][\"'“”’»)\]]*$"
 _COMPANY = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}-]+ ){{1,4}}{LEGAL_FORM}"
 #: In this order: (what, by what).
 _NORMAL = (
-    (BREAK_SIGN, ""),
     (r"\r\n?", "\n"),
     # lines wrapped inside a sentence, and quoted lines
     (r"(?<![.!?:|\n])\n(?:> ?)?(?=\p{Ll}(?!\)))|\n> ?", " "),
@@ -57,7 +56,13 @@ _BLANK = r"[\s\p{Z}]+"
 _MASK = r"\p{Lu}[\p{L}\p{M}-]*"
 
 
+#: A break sign with its blanks is within so many characters at a text's end.
+_TAIL = 64
+
+
 def _normal(text: Column) -> Column:
+    text = F.rtrim(text)
+    text = F.concat(F.substring(text, F.lit(1), F.length(text) - _TAIL), F.regexp_replace(F.right(text, F.lit(_TAIL)), BREAK_SIGN, ""))
     for what, by in _NORMAL:
         text = F.regexp_replace(text, what, by)
     return text
@@ -67,7 +72,7 @@ def normalised(documents: DataFrame) -> DataFrame:
     """(doc_id, source, copy, n_chars, signed, lines): the normalised lines of each text that isn't null, empty or blank."""
     lines = F.transform(F.split(_normal(F.col("text")), "\n"), lambda x: F.trim(F.regexp_replace(x, _BLANK, " ")))
     return documents.filter(~F.col("text").rlike(rf"^(?:{_BLANK})?$")).select(
-        "doc_id", "source", F.xxhash64("text").alias("copy"), F.length("text").alias("n_chars"), F.col("text").rlike(_SIGNED).alias("signed"), F.filter(lines, lambda x: x != "").alias("lines")
+        "doc_id", "source", F.xxhash64("text").alias("copy"), F.length("text").alias("n_chars"), F.right(F.rtrim("text"), F.lit(_TAIL)).rlike(_SIGNED).alias("signed"), F.filter(lines, lambda x: x != "").alias("lines")
     )
 
 
