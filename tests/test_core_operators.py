@@ -154,6 +154,13 @@ def test_units_most_specific_wins(spark):
     assert units.to_base(spark.createDataFrame([], FACTS), spark.createDataFrame([], REPORTS), rates).count() == 0
 
 
+def test_long_texts_are_no_units(spark):
+    long = [(1, "p", "bs", "x" + ", EUR" * 50_000, 1.0, "EUR " * 50_000), (2, "p", "bs", "x" + " " * 200_000 + "(tis.)", 1.0, "9" * 200_000), (3, "p", "bs", "(" * 100_000, 1.0, None)]
+    rates = spark.createDataFrame([("EUR", 1.0), ("HRK", 7.5345)], "currency string, units_per_eur double")
+    out = units.to_base(spark.createDataFrame(long, FACTS), spark.createDataFrame([("p", "EUR" * 50_000, 1.0, None, 2024)], REPORTS), rates)
+    assert sorted((r.fact_id, r.currency, r.scale) for r in out.collect()) == [(1, "EUR", 1.0), (2, "EUR", 1000.0), (3, "EUR", 1.0)]
+
+
 # --- p4 -----------------------------------------------------------------------------------
 
 
