@@ -29,6 +29,8 @@ ALMOST_NEVER_DOUBTFUL = 0.1
 WHOLE, WHOLE_LINE = 0.5, 0.03
 #: Lines that begin alike from which a short line's counts are trusted.
 FEW = 2
+#: Characters of a word beyond which its beginnings aren't counted as pieces of it.
+LONGEST_WORD = 40
 #: Words of a short line.
 SHORT = 8
 
@@ -40,7 +42,7 @@ LEGAL_FORM = r"(?:d\.\s?d\.|d\.\s?o\.\s?o\.|j\.\s?d\.\s?o\.\s?o\.|а\.\s?д\.|д
 #: Sentence end: full stop, question or exclamation mark, then closing quotes or brackets.
 SENTENCE_END = r"[.!?][\"'“”’»)\]]*$"
 
-_COMPANY = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}-]+ ){{1,4}}{LEGAL_FORM}"
+_COMPANY = rf"(?<![\p{{L}}\p{{M}}-])(?:\p{{Lu}}[\p{{L}}\p{{M}}-]++ ){{1,4}}{LEGAL_FORM}"
 #: In this order: (what, by what).
 _NORMAL = (
     (r"\r\n?", "\n"),
@@ -49,8 +51,8 @@ _NORMAL = (
     (_COMPANY, "<C>"),
     (r"(?<![\d.,])\d{1,2}(?:\. ?\d{1,2}\. ?| \p{L}{3,9} )(?:19|20)\d\d(?!\d)", "<D>"),
     (r"(?<![\d.,])(?:19|20)\d\d(?!\d|[.,]\d)", "<Y>"),
-    (r"\d+(?:[.,]\d+)*", "0"),
-    (r"(^|\n)[ \t]*(?:[-–—•*·]|\p{Ll}\)|0[.)]|\[0\])[ \t]+", "$1• "),
+    (r"\d++(?:[.,]\d++)*+", "0"),
+    (r"(^|\n)[ \t]*+(?:[-–—•*·]|\p{Ll}\)|0[.)]|\[0\])[ \t]++", "$1• "),
 )
 _BLANK = r"[\s\p{Z}]+"
 _MASK = r"\p{Lu}[\p{L}\p{M}-]*"
@@ -119,7 +121,7 @@ longer AS (
   SELECT w1, w2, w3, sum(n) AS n_longer
   FROM (
     SELECT w1, w2, n_in + n_end AS n, explode(transform(filter(sequence(1, length(w3) - 1), k -> substr(w3, k, 2) RLIKE '^[\\p{{L}}\\p{{N}}]{{2}}$'), k -> left(w3, k))) AS w3
-    FROM (SELECT * FROM {every} LEFT SEMI JOIN (SELECT w1, w2 FROM {every} WHERE asked = 1 AND w1 <> '⏎⏎' AND NOT w3 RLIKE :stop) USING (w1, w2)) WHERE length(w3) > 1)
+    FROM (SELECT * FROM {every} LEFT SEMI JOIN (SELECT w1, w2 FROM {every} WHERE asked = 1 AND w1 <> '⏎⏎' AND NOT w3 RLIKE :stop) USING (w1, w2)) WHERE length(w3) BETWEEN 2 AND :longest)
   GROUP BY w1, w2, w3),
 lines AS (
   SELECT e.w3 AS opening, try_element_at(filter(array(
@@ -156,7 +158,7 @@ def judge(documents: DataFrame) -> DataFrame:
     lines = cut_lineage(normalised(documents.select("doc_id", "source", "text")))  # read twice; normalising costs more than a copy
     finals = cut_lineage(spark.sql(_FINALS, args={"short": SHORT}, lines=lines))
     counts = spark.sql(_COUNTS, args={"short": SHORT}, lines=lines)
-    args = {"stop": SENTENCE_END, "support": SUPPORT, "trusted": SUPPORT_STOP, "never": ALMOST_NEVER, "doubtful": ALMOST_NEVER_DOUBTFUL, "whole": WHOLE, "line": WHOLE_LINE, "few": FEW}
+    args = {"stop": SENTENCE_END, "support": SUPPORT, "trusted": SUPPORT_STOP, "never": ALMOST_NEVER, "doubtful": ALMOST_NEVER_DOUBTFUL, "whole": WHOLE, "line": WHOLE_LINE, "few": FEW, "longest": LONGEST_WORD}
     every = cut_lineage(spark.sql(_EVERY, args={"mask": _MASK}, finals=finals, counts=counts))
     return spark.sql(_JUDGED, args=args, finals=finals, every=every)
 

@@ -132,6 +132,17 @@ def test_cuts_are_found(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    long = ["1," * 300_000, "A" * 600_000, ("Tvrtka " * 100_000) + "d.d.", "\n" * 300_000 + "x", " " * 300_000 + "kraj…" + " " * 300_000, "- a\n" * 100_000, "…" * 100_000]
+    rows = [(i, "s", t) for i, t in enumerate(long)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert truncation.judge(df).count() >= 5
+    assert 4 in {r.doc_id for r in truncation.truncated(df).collect()}
+    assert tokenizer.encode_corpus(df).count() == 7
+    items = spark.createDataFrame([(1, "tvrtka " * 20)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in leakage.leaks(df, items).collect()] == [(2, 1)]
+
+
 # --- p5 -----------------------------------------------------------------------------------
 
 GLEIF = "lei string, legal_name string, legal_address_country string, legal_address_city string, registration_authority_entity_id string"
@@ -161,6 +172,12 @@ def test_matching(spark):
     assert matching.match(gd.limit(0), rd).count() == matching.match(gd, rd.limit(0)).count() == 0
 
 
+def test_long_names(spark):
+    gd = spark.createDataFrame([("L1", "x" * 100_000 + " Hotels d.d.", "HR", "Split", None), ("L2", "ab, " * 20_000, "HR", None, None)], GLEIF)
+    rd = spark.createDataFrame([("E1", "Hoteli " + "x" * 100_000 + " d.d.", "HR", "Split", "9" * 100_000)], LOCAL)
+    assert {(x.lei, x.entity_id) for x in matching.match(gd, rd).collect()} == {("L1", "E1")}
+
+
 def test_crowded_names_keep_what_all_attributes_tell(spark, monkeypatch):
     monkeypatch.setattr(matching, "MAX_OPEN", 20)
     towns = ["Zagreb", "Split", "Pula", "Zadar", "Osijek", "Sisak"]
