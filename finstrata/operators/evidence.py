@@ -184,3 +184,25 @@ def _html_tables(s: pd.Series) -> pd.DataFrame:
 def html_tables(df: DataFrame, html: str, name: str = "tables") -> DataFrame:
     """`df` with a struct (tables, truncated) of the page's outermost tables."""
     return share_code(df).withColumn(name, _html_tables(F.col(html)))
+
+
+def reported_texts(facts: DataFrame, classes: Sequence[tuple[str, Sequence[str]]], most: int = 160, longest: int = 4000) -> DataFrame:
+    """(path, fact, concept, language, class, text, truncated): the first `most` texts of each filing, by concept and fact.
+
+    facts as `xbrl_facts` gives them; those without a language or text don't count. Markup is stripped; longer texts are
+    cut to `longest` characters and flagged.
+    """
+    from finstrata.operators.ranking import best_per_group
+
+    t = visible_text(facts.filter("language IS NOT NULL AND trim(value) <> ''"), "value", "visible").filter("trim(visible) <> ''")
+    one = t.select("path", "fact", "concept", "language", ordered_class(F.concat_ws(" ", "concept", "visible"), classes).alias("class"), F.left("visible", F.lit(longest)).alias("text"), (F.length("visible") > longest).alias("truncated"))
+    return best_per_group(one, ["path"], [F.col("concept").asc(), F.col("fact").asc()], most)
+
+
+def first_annual(filings: DataFrame, entity: str, end: str, annual: str, within: int = 12) -> DataFrame:
+    """(entity, filing...): each entity's newest filing that is annual, among its `within` newest; audit counts how many newer ones aren't."""
+    from finstrata.operators.ranking import best_per_group
+
+    near = best_per_group(filings, [entity], [F.col(end).desc_nulls_last(), F.col("filing_id").desc()], within, "place")
+    first = best_per_group(near.filter(F.col(annual)), [entity], [F.col("place").asc()])
+    return first.withColumn("passed_over", F.col("place") - 1).drop("place")

@@ -199,3 +199,40 @@ def correspondence(cells: DataFrame) -> DataFrame:
 def amounts(c: Column) -> Column:
     """Numbers written the European way."""
     return european_number(c)
+
+
+class _Tokens:
+    """Visible pieces of a page's text, in order."""
+
+    def __new__(cls, html: str | None) -> list[str]:
+        from finstrata.operators.evidence import _Visible
+
+        p = _Visible()
+        p.feed(html or "")
+        p.close()
+        return p.out
+
+
+# Pieces of a page that aren't a company's name.
+NAVIGATION = ("Home", "Market data", "Issuers", "Prices", "News", "Search", "Menu", "Contact", "Hrvatski", "English")
+
+
+def issuer_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """`pages` with lei, leis (how many different ones the page shows), home_state and issuer_name.
+
+    lei is null if the page shows none or several. home_state is the piece of text after its label, the name the
+    last piece before the label that isn't navigation.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def tokens(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: list(_Tokens(x)))
+
+    p = share_code(pages).withColumn("__t", tokens(html))
+    found = F.array_distinct(F.regexp_extract_all(F.array_join("__t", " "), F.lit(r"\b([A-Z0-9]{18}[0-9]{2})\b"), F.lit(1)))
+    at = F.array_position(F.transform("__t", lambda x: F.lower(x)), F.lit("home member state"))
+    before = F.filter(F.slice("__t", F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0))), lambda x: ~x.isin(*NAVIGATION))
+    return p.select(
+        *pages.columns, F.when(F.size(found) == 1, found[0]).alias("lei"), F.size(found).alias("leis"),
+        F.when(at > 0, F.try_element_at("__t", at.cast("int") + 1)).alias("home_state"), F.when(at > 0, F.try_element_at(before, F.lit(-1))).alias("issuer_name"),
+    )

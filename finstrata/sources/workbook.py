@@ -199,3 +199,54 @@ def statement_facts(c: DataFrame, headers: DataFrame) -> DataFrame:
 def repeated_facts(facts: DataFrame) -> DataFrame:
     """Cells a workbook states twice; a template that changed."""
     return facts.groupBy("local_path", "statement", "adp_code", "column_name", "source_sheet").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("source_row")).alias("rows")).filter("n > 1")
+
+
+# Words of labels that state numbers of employees, in folded text.
+STAFF = ("zaposlen", "employee")
+STAFF_COST = ("trosak zaposlen", "employee cost", "staff cost", "placa", "salary", "wage")
+STAFF_AVERAGE = ("prosjec", "average")
+STAFF_AT_END = (
+    "na dan", "na 31", "na kraju", "krajem", "at 31", "as at", "at period end", "end of period", "year end", "year-end", "broj zaposlenih", "broj zaposlenika", "number of employees", "headcount",
+)
+STAFF_GROUP, STAFF_COMPANY = ("grupa", "group", "koncern"), ("drustv", "company")
+NOTE_SHEETS = ("biljes", "note")
+_COUNT = r"\d{1,3}(?:[ .,\x{a0}]\d{3})+|\d{1,7}"
+#: Places beside and below a label where its number may be, with their worth: near ones and the same row first.
+_PLACES = [(0, d, 100 - d) for d in range(1, 7)] + [(r, c, 70 - 5 * r - c) for r in (1, 2) for c in range(4)]
+
+
+def _whole_count(text: Column, number: Column) -> Column:
+    """A number of people in a cell: a whole number, or text that is nothing else."""
+    written = F.when(text.rlike(rf"^\s*(?:{_COUNT})\s*$"), F.regexp_replace(text, r"\D", "").try_cast("double"))
+    n = F.coalesce(number, written)
+    return F.when(n.between(0, 10_000_000) & (n == F.floor(n)), n)
+
+
+def employee_counts(c: DataFrame, headers: DataFrame) -> DataFrame:
+    """(path, measure, scope, value, source_sheet, source_row): the number of employees that notes and general data state.
+
+    measure: average or period_end, scope: group, company or unspecified; neither is inferred from the other. Of several
+    numbers the one nearest its label counts, more if the scope is the report's; of ties the first in sheet order. A label
+    may hold its number itself, years aside. Labels of costs don't count.
+    """
+    from finstrata.functions.text import fold
+
+    any_of = lambda t, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
+    sheets = c.filter("error IS NULL AND row <= 500 AND col <= 30").withColumn("s", fold(F.col("sheet"))).filter(_is_sheet(GENERAL) | any_of(F.col("s"), NOTE_SHEETS))
+    t = F.col("t")
+    measure = F.when(any_of(t, STAFF_AVERAGE), "average").when(any_of(t, STAFF_AT_END), "period_end")
+    scope = F.when(any_of(t, STAFF_GROUP), "group").when(any_of(t, STAFF_COMPANY), "company").otherwise("unspecified")
+    labels = sheets.filter("kind = 'text'").withColumn("t", fold(F.col("text"))).filter(any_of(t, STAFF) & ~any_of(t, STAFF_COST)).select("path", "sheet", "sheet_no", "row", "col", "text", measure.alias("measure"), scope.alias("scope")).filter("measure IS NOT NULL")
+    places = F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + k).alias("col"), F.lit(w).alias("worth")) for r, k, w in _PLACES])
+    near = labels.select("path", "sheet", "sheet_no", F.col("row").alias("l_row"), F.col("col").alias("l_col"), "measure", "scope", F.inline(places))
+    counts = sheets.select("path", "sheet", "row", "col", _whole_count(F.col("text"), F.when(F.col("kind") == "number", F.col("number"))).alias("value")).filter("value IS NOT NULL")
+    beside = near.join(counts, ["path", "sheet", "row", "col"]).select("path", "sheet", "sheet_no", "l_row", "l_col", "measure", "scope", "worth", "value")
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(rf"(?<!\d)({_COUNT})(?!\d)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\D", "").try_cast("double"))
+    own = F.try_element_at(F.filter(tokens, lambda v: ~v.between(1900, 2100)), F.lit(1))
+    inside = labels.select("path", "sheet", "sheet_no", F.col("row").alias("l_row"), F.col("col").alias("l_col"), "measure", "scope", F.lit(40).alias("worth"), own.alias("value")).filter("value IS NOT NULL")
+    found = beside.unionByName(inside.join(beside.select("path", "sheet", "l_row", "l_col").distinct(), ["path", "sheet", "l_row", "l_col"], "left_anti"))
+    found = found.join(headers.select("path", "consolidated"), "path", "left")
+    fits = ((F.col("consolidated") == 1) & (F.col("scope") == "group")) | ((F.col("consolidated") == 0) & (F.col("scope") == "company"))
+    score = F.col("worth") + F.when(fits, 20).when(F.col("scope") == "unspecified", 5).otherwise(0)
+    best = found.groupBy("path", "measure", "scope").agg(F.max_by(F.struct("value", "sheet", "l_row"), F.struct(score, -F.col("sheet_no"), -F.col("l_row"), -F.col("l_col"))).alias("b"))
+    return best.select("path", "measure", "scope", "b.value", F.col("b.sheet").alias("source_sheet"), F.col("b.l_row").alias("source_row"))

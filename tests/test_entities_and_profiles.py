@@ -14,11 +14,11 @@ LEI = "A" * 18 + "12"
 def test_register_merges_and_refuses(spark):
     ents = spark.createDataFrame([("ISIN:HR0000000001", "Old", "HR")], "entity_id string, name string, country string")
     known = spark.createDataFrame([("ISIN:HR0000000001", "ISIN", "HR0000000001")], "entity_id string, scheme string, value string")
-    recs = spark.createDataFrame([(1, LEI, "hr0000000001", None, None, "New", None), (2, None, None, "zse", "abc", None, "HR"), (3, None, "bad", None, None, "Only a name", None), (4, None, None, None, None, None, None)], REC)
+    recs = spark.createDataFrame([(1, LEI, "hr0000000001", None, None, "New", None), (2, None, None, "xzag", "abc", None, "HR"), (3, None, "bad", None, None, "Only a name", None), (4, None, None, None, None, None, None)], REC)
     e, k = N.register(recs, ents, known)
     got = {r.entity_id: (r.name, r.country) for r in e.collect()}
-    assert got["ISIN:HR0000000001"] == ("New", "HR") and got["ZSE:ABC"] == (None, "HR") and len(got) == 3
-    assert {(r.scheme, r.value) for r in k.collect()} == {("ISIN", "HR0000000001"), ("LEI", LEI), ("TICKER", "ZSE:ABC")}
+    assert got["ISIN:HR0000000001"] == ("New", "HR") and got["XZAG:ABC"] == (None, "HR") and len(got) == 3
+    assert {(r.scheme, r.value) for r in k.collect()} == {("ISIN", "HR0000000001"), ("LEI", LEI), ("TICKER", "XZAG:ABC")}
     assert {r.entity_id: len(r.identifiers) for r in N.nested(e, k).collect()}["ISIN:HR0000000001"] == 2
     two = known.unionByName(spark.createDataFrame([("LEI:x", "LEI", LEI)], known.schema))
     with pytest.raises(ValueError, match="several entities"):

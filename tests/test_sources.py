@@ -91,3 +91,29 @@ def test_correspondence(spark, tmp_path):
     workbooks.write(tmp_path / "x.xlsx", {"Index": {(1, 1): "see"}, "Table": rows})
     got = sorted((r.from_code, r.to_code, r.change) for r in landed.correspondence(workbook.cells(spark, str(tmp_path))).collect())
     assert got == [("1000", "2000", "split"), ("1000", "2001", None)]
+
+
+def test_employee_counts(spark, tmp_path):
+    notes = {(1, 1): "Prosječan broj zaposlenih (Grupa)", (1, 4): "5.610", (2, 1): "Broj zaposlenih na kraju razdoblja u društvu bio je 120 u 2024.", (3, 1): "Trošak zaposlenih", (3, 9): 999, (5, 1): "Average number of employees", (7, 1): 77, (9, 1): "Average number of employees", (9, 3): 2.5}
+    workbooks.write(tmp_path / "n.xlsx", {"Bilješke": notes, "Bilanca": {(1, 1): "Number of employees", (1, 2): 5}})
+    c = workbook.cells(spark, str(tmp_path)).cache()
+    got = {(r.measure, r.scope): (r.value, r.source_row) for r in workbook.employee_counts(c, workbook.report_headers(c)).collect()}
+    assert got == {("average", "group"): (5610.0, 1), ("period_end", "company"): (120.0, 2), ("average", "unspecified"): (77.0, 5)}
+
+
+def test_issuer_pages(spark):
+    lei = "A" * 18 + "12"
+    html = f"<a>Home</a><h1>Aaa d.d.</h1><a>News</a><p>Home Member State</p><b>Croatia</b><p>LEI {lei}</p><p>{lei}</p>"
+    two = html + f"<p>{'B' * 18}34</p>"
+    rows = landed.issuer_pages(spark.createDataFrame([(html,), (two,), (None,)], "html string")).collect()
+    assert [(r.lei, r.leis, r.home_state, r.issuer_name) for r in rows] == [(lei, 1, "Croatia", "Aaa d.d."), (None, 2, "Croatia", "Aaa d.d."), (None, 0, None, None)]
+
+
+def test_reported_texts_and_first_annual(spark):
+    from finstrata.operators import evidence as V
+
+    f = spark.createDataFrame([("p", "1", "c:Activity", "en", "<p>Makes <b>cables</b></p>"), ("p", "2", "c:Other", "en", "x" * 50), ("p", "3", "c:Number", None, "5"), ("p", "4", "c:Z", "hr", " ")], "path string, fact string, concept string, language string, value string")
+    got = {r.fact: (r["class"], r.text, r.truncated) for r in V.reported_texts(f, [("ACTIVITY", ("activity",))], longest=20).collect()}
+    assert got == {"1": ("ACTIVITY", "Makes cables", False), "2": ("OTHER", "x" * 20, True)}
+    fl = spark.createDataFrame([("e", "a", "2025-06-30", False), ("e", "b", "2024-12-31", True), ("e", "c", "2023-12-31", True), ("g", "d", "2024-12-31", False)], "entity string, filing_id string, period_end string, annual boolean")
+    assert [(r.entity, r.filing_id, r.passed_over) for r in V.first_annual(fl, "entity", "period_end", "annual").collect()] == [("e", "b", 1)]
