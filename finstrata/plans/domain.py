@@ -88,13 +88,11 @@ def _revenue(spark, sf_dir):
 
 
 def series_growth(spark, sf_dir):
-    g = T.series_growth(_revenue(spark, sf_dir), ["p_type"])
-    return g.select("p_type", "year", "value", F.round("yoy", 2).alias("yoy"))
+    return T.series_growth(_revenue(spark, sf_dir), ["p_type"])
 
 
 def series_direction(spark, sf_dir):
-    g = T.series_direction(_revenue(spark, sf_dir), ["p_type"])
-    return g.select("p_type", "points", "direction", F.round("change", 2).alias("change"), F.round("cagr", 2).alias("cagr"))
+    return T.series_direction(_revenue(spark, sf_dir), ["p_type"])
 
 
 def market_profile(spark, sf_dir):
@@ -102,7 +100,7 @@ def market_profile(spark, sf_dir):
     kind = F.when(F.col("o_orderstatus") == "F", "revenue").when((F.col("o_orderstatus") == "P") & (F.col("n_regionkey") == 1), "contract").otherwise("mention")
     e = o.select(F.col("n_name").alias("market"), kind.alias("kind"), F.year("o_orderdate").alias("period"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
     m = T.market_profile(e, 4.0)
-    return m.select("market", F.array_join("kinds", ",").alias("kinds"), F.array_join("periods", ",").alias("periods"), F.round("share", 3).alias("share"), "core", "status")
+    return m.select("market", F.array_join("kinds", ",").alias("kinds"), F.array_join("periods", ",").alias("periods"), "share", "core", "status")
 
 
 # --- similarity ---------------------------------------------------------------------------
@@ -265,15 +263,15 @@ ORACLES = {
     "parent_fill": f"""WITH {_CODES} SELECT pos, code, level, CASE level WHEN 2 THEN last_value(CASE WHEN level = 1 THEN code END IGNORE NULLS) OVER w WHEN 3 THEN last_value(CASE WHEN level = 2 THEN code END IGNORE NULLS) OVER w END AS parent FROM c
       WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "level_counts": f"WITH {_CODES}, n AS (SELECT level, count(*) AS n FROM c GROUP BY 1), x(level, expected) AS (VALUES (1, 5), (2, 25), (3, 100), (4, 0)) SELECT CAST(coalesce(n.level, x.level) AS INT) AS level, coalesce(n, 0) AS n, CAST(coalesce(expected, 0) AS BIGINT) AS expected, coalesce(n = expected, false) AS ok FROM n FULL JOIN x ON x.level = n.level",
-    "series_growth": f"WITH {_REV} SELECT a.p_type, a.year, a.value, round((a.value - b.value) / nullif(abs(b.value), 0) * 100, 2) AS yoy FROM r a LEFT JOIN r b ON b.p_type = a.p_type AND b.year = a.year - 1",
+    "series_growth": f"WITH {_REV} SELECT a.p_type, a.year, a.value, CAST(round_even((a.value - b.value) / nullif(abs(b.value), 0) * 100, 4) AS DOUBLE) AS yoy FROM r a LEFT JOIN r b ON b.p_type = a.p_type AND b.year = a.year - 1",
     "series_direction": f"""WITH {_REV}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY p_type ORDER BY year) AS step FROM r),
       g AS (SELECT p_type, count(*) AS points, bool_and(step > 0) AS up, bool_and(step < 0) AS down, bool_and(step = 0) AS flat, arg_min(value, year) AS a, arg_max(value, year) AS z, max(year) - min(year) AS years FROM d GROUP BY 1)
-      SELECT p_type, points, CASE WHEN points < 2 THEN 'INSUFFICIENT' WHEN up THEN 'INCREASING' WHEN down THEN 'DECREASING' WHEN flat THEN 'STABLE' ELSE 'MIXED' END AS direction, round((z - a) / nullif(abs(a), 0) * 100, 2) AS change,
-        round(CASE WHEN a > 0 AND z >= 0 AND years > 0 THEN (power(z / a, CAST(1 AS DOUBLE) / years) - 1) * 100 END, 2) AS cagr FROM g""",
+      SELECT p_type, points, CASE WHEN points < 2 THEN 'INSUFFICIENT' WHEN up THEN 'INCREASING' WHEN down THEN 'DECREASING' WHEN flat THEN 'STABLE' ELSE 'MIXED' END AS direction, CAST(round_even((z - a) / nullif(abs(a), 0) * 100, 4) AS DOUBLE) AS change,
+        CAST(round_even(CASE WHEN a > 0 AND z >= 0 AND years > 0 THEN (power(z / a, CAST(1 AS DOUBLE) / years) - 1) * 100 END, 4) AS DOUBLE) AS cagr FROM g""",
     "market_profile": """WITH e AS (SELECT n_name AS market, CASE WHEN o_orderstatus = 'F' THEN 'revenue' WHEN o_orderstatus = 'P' AND n_regionkey = 1 THEN 'contract' ELSE 'mention' END AS kind, year(o_orderdate) AS period, CAST(o_totalprice AS DECIMAL(18,2)) AS amount
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
       g AS (SELECT market, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, array_to_string(list_sort(list(DISTINCT period)), ',') AS periods, count(DISTINCT period) FILTER (kind = 'revenue') AS rp, bool_or(kind = 'contract') AS contract, CAST(sum(amount) AS DOUBLE) AS amount FROM e GROUP BY 1)
-      SELECT market, kinds, periods, round(amount / (SELECT CAST(sum(amount) AS DOUBLE) FROM e) * 100, 3) AS share, amount / (SELECT CAST(sum(amount) AS DOUBLE) FROM e) * 100 >= 4 AS core, CASE WHEN contract THEN 'DIRECT' WHEN rp >= 2 THEN 'REPEATED' ELSE 'REPORTED' END AS status FROM g""",
+      SELECT market, kinds, periods, round(amount / (SELECT CAST(sum(amount) AS DOUBLE) FROM e) * 100, 4) AS share, amount / (SELECT CAST(sum(amount) AS DOUBLE) FROM e) * 100 >= 4 AS core, CASE WHEN contract THEN 'DIRECT' WHEN rp >= 2 THEN 'REPEATED' ELSE 'REPORTED' END AS status FROM g""",
     "activity_vector": """WITH a AS (SELECT n_name AS ticker, lpad(CAST(p_size AS VARCHAR), 2, '0') || '.' || right(p_brand, 2) AS code, n_regionkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q
         FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
       w AS (SELECT ticker, code, CASE WHEN n_regionkey <> 2 THEN q ELSE 1 END AS w FROM a) SELECT ticker, code, round(w / sum(w) OVER (PARTITION BY ticker), 9) AS weight FROM w""",
