@@ -120,7 +120,7 @@ def activity_vector(spark, sf_dir):
 
 
 def peer_greedy(spark, sf_dir):
-    g = P.greedy_match(P.activity_vector(_activities(spark, sf_dir)), "GERMANY")
+    g = P.greedy_match(P.activity_vector(_activities(spark, sf_dir)), "NATION_7")
     return g.withColumn("band", P.business_band(F.col("score"), F.col("exact"), F.col("same_group")))
 
 
