@@ -98,22 +98,23 @@ SELECT doc_id, source, copy, n_chars, signed, w[size(w) - 3] AS w1, w[size(w) -
 FROM (SELECT *, concat(array('⏎', '⏎'), split(lines[size(lines) - 1], ' ')) AS w FROM {lines} WHERE size(lines) > 0)
 """
 
-#: Every trigram and opening with its counts and masks; asked: it is the end of a text.
+#: Every trigram and opening with its counts and masks; asked: it is the end of a text. n_short leaves out the ends of
+#: texts whose last line is long: without a full stop such an end is no evidence that a line may end so.
 _EVERY = """
 WITH ends AS (
-  SELECT w1, w2, w3, count(DISTINCT copy) AS n_text
-  FROM (SELECT copy, w1, w2, w3 FROM {finals} UNION ALL SELECT copy, '⏎⏎', '', opening FROM {finals} WHERE opening <> '')
+  SELECT w1, w2, w3, count(DISTINCT copy) AS n_text, count(DISTINCT IF(short, copy, NULL)) AS n_short
+  FROM (SELECT copy, w1, w2, w3, opening <> '' AS short FROM {finals} UNION ALL SELECT copy, '⏎⏎', '', opening, true FROM {finals} WHERE opening <> '')
   GROUP BY w1, w2, w3)
 
-  SELECT w1, w2, w3, regexp_replace(w1, :mask, 'X') AS m1, regexp_replace(w2, :mask, 'X') AS m2, regexp_replace(w3, :mask, 'X') AS m3, n_in, n_end, asked
+  SELECT w1, w2, w3, regexp_replace(w1, :mask, 'X') AS m1, regexp_replace(w2, :mask, 'X') AS m2, regexp_replace(w3, :mask, 'X') AS m3, n_in, n_end, n_short, asked
   FROM (
-    SELECT w1, w2, w3, sum(n_in) AS n_in, sum(n_end) AS n_end, max(asked) AS asked
-    FROM (SELECT w1, w2, w3, n_in, n_end, 0 AS asked FROM {counts} UNION ALL SELECT w1, w2, w3, 0, n_text, 1 FROM ends)
+    SELECT w1, w2, w3, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_short) AS n_short, max(asked) AS asked
+    FROM (SELECT w1, w2, w3, n_in, n_end, n_end AS n_short, 0 AS asked FROM {counts} UNION ALL SELECT w1, w2, w3, 0, n_text, n_short, 1 FROM ends)
     GROUP BY w1, w2, w3)
 """
 
 _JUDGED = """
-WITH masked AS (SELECT m1, m2, m3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} GROUP BY m1, m2, m3 HAVING max(asked) = 1),
+WITH masked AS (SELECT m1, m2, m3, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_short) AS n_short FROM {every} GROUP BY m1, m2, m3 HAVING max(asked) = 1),
 pairs AS (SELECT m2, m3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} WHERE w1 <> '⏎⏎' GROUP BY m2, m3 HAVING max(asked) = 1),
 words AS (SELECT w3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} WHERE w1 <> '⏎⏎' GROUP BY w3 HAVING max(asked) = 1),
 -- longer words in the same place: of those, a final piece of a word is a part
@@ -129,18 +130,19 @@ lines AS (
   FROM {every} e JOIN masked m USING (m1, m2, m3) WHERE e.asked = 1 AND e.w1 = '⏎⏎'),
 joined AS (
   SELECT e.w1, e.w2, e.w3, (e.w3 = '<C>' OR e.w3 RLIKE :stop) AS stop, coalesce(l.n_longer, 0) AS n_longer,
-    array(struct(e.n_in, e.n_end - 1 AS n_end), struct(m.n_in, m.n_end - 1 AS n_end), struct(p.n_in, p.n_end - 1 AS n_end), struct(v.n_in, v.n_end - 1 AS n_end)) AS levels
+    array(struct(e.n_in, e.n_end - 1 AS n_end), struct(m.n_in, m.n_end - 1 AS n_end), struct(p.n_in, p.n_end - 1 AS n_end), struct(v.n_in, v.n_end - 1 AS n_end)) AS levels,
+    array(struct(e.n_in, e.n_short AS n_end), struct(m.n_in, m.n_short AS n_end)) AS lined
   FROM {every} e JOIN masked m USING (m1, m2, m3) JOIN pairs p USING (m2, m3) JOIN words v ON v.w3 = e.w3 LEFT JOIN longer l ON l.w1 = e.w1 AND l.w2 = e.w2 AND l.w3 = e.w3
   WHERE e.asked = 1 AND e.w1 <> '⏎⏎'),
 best AS (
   SELECT *, coalesce(try_element_at(filter(levels, x -> x.n_in + x.n_end >= :trusted), 1), levels[0]) AS s,
-    try_element_at(filter(slice(levels, 1, 2), x -> x.n_in + x.n_end >= :support), 1) AS b
+    try_element_at(filter(lined, x -> x.n_in + x.n_end > :support), 1) AS b
   FROM joined)
 SELECT f.*, IF(stop, s.n_in, coalesce(o.n_in, b.n_in)) AS n_in, IF(stop, s.n_end, coalesce(o.n_end, b.n_end)) AS n_end, n_longer,
   CASE WHEN signed AND NOT stop THEN true
        WHEN signed THEN s.n_in + s.n_end >= :support AND s.n_end < :doubtful * (s.n_in + s.n_end)
        WHEN NOT stop AND o IS NOT NULL THEN o.n_end < o.least * (o.n_in + o.n_end) OR (n_longer >= :support AND o.n_end < n_longer AND levels[0].n_in = 0)
-       WHEN NOT stop THEN b IS NULL OR b.n_end < :whole * (b.n_in + b.n_end) OR (n_longer >= :support AND b.n_end < n_longer)
+       WHEN NOT stop THEN b IS NULL OR b.n_end - IF(f.opening = '', 0, 1) < :whole * (b.n_in + b.n_end) OR (n_longer >= :support AND b.n_end < n_longer)
        WHEN w3 = '0.' THEN levels[0].n_in + levels[0].n_end >= :support AND levels[0].n_end < :doubtful * (levels[0].n_in + levels[0].n_end)
        ELSE s.n_in + s.n_end >= :trusted AND s.n_end < :never * (s.n_in + s.n_end) END AS truncated
 FROM {finals} f JOIN best USING (w1, w2, w3) LEFT JOIN lines USING (opening)
