@@ -37,6 +37,8 @@ SHORT = 8
 # Signs put where a text breaks off, and what a broken byte sequence leaves.
 BREAK_SIGN = r"(?:[\s​﻿]|…|\.{3,}|\[(?:…|\.{2,}|cut|truncated)\]|\((?:…|\.{2,}|cut|truncated)\)|\x{fffd})+$"
 _SIGNED = r"(?:…|\.{3,}|\[(?:…|\.{2,}|cut|truncated)\]|\((?:…|\.{2,}|cut|truncated)\)|\x{fffd})\s*$"
+# Legal forms that lack their end.
+FORM_PIECE = r"^(?:d|d\.d|d\.o|d\.o\.o|j\.d\.o\.o)$"
 # Legal forms that end a company's name.
 LEGAL_FORM = r"(?:d\.\s?d\.|d\.\s?o\.\s?o\.|j\.\s?d\.\s?o\.\s?o\.|а\.\s?д\.|д\.\s?д\.|д\.\s?о\.\s?о\.|a\.\s?d\.|AG|GmbH|plc)"
 #: Sentence end: full stop, question or exclamation mark, then closing quotes or brackets.
@@ -55,7 +57,7 @@ _NORMAL = (
     (r"(^|\n)[ \t]*+(?:[-–—•*·]|\p{Ll}\)|0[.)]|\[0\])[ \t]++", "$1• "),
 )
 _BLANK = r"[\s\p{Z}]+"
-_MASK = r"\p{Lu}[\p{L}\p{M}-]*"
+_MASK = r"<C>|\p{Lu}[\p{L}\p{M}-]*"
 
 
 #: A break sign with its blanks is within so many characters at a text's end.
@@ -106,7 +108,7 @@ WITH ends AS (
   FROM (SELECT copy, w1, w2, w3, opening <> '' AS short FROM {finals} UNION ALL SELECT copy, '⏎⏎', '', opening, true FROM {finals} WHERE opening <> '')
   GROUP BY w1, w2, w3)
 
-  SELECT w1, w2, w3, regexp_replace(w1, :mask, 'X') AS m1, regexp_replace(w2, :mask, 'X') AS m2, regexp_replace(w3, :mask, 'X') AS m3, n_in, n_end, n_short, asked
+  SELECT w1, w2, w3, regexp_replace(w1, :mask, 'X') AS m1, regexp_replace(w2, :mask, 'X') AS m2, regexp_replace(regexp_replace(w3, :mask, 'X'), 'X(?: X)+', 'X') AS m3, n_in, n_end, n_short, asked
   FROM (
     SELECT w1, w2, w3, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_short) AS n_short, max(asked) AS asked
     FROM (SELECT w1, w2, w3, n_in, n_end, n_end AS n_short, 0 AS asked FROM {counts} UNION ALL SELECT w1, w2, w3, 0, n_text, n_short, 1 FROM ends)
@@ -114,14 +116,15 @@ WITH ends AS (
 """
 
 _JUDGED = """
-WITH masked AS (SELECT m1, m2, m3, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_short) AS n_short FROM {every} GROUP BY m1, m2, m3 HAVING max(asked) = 1),
+WITH -- a masked opening ends as often as it has different forms that do: one frequent line vouches for no other
+masked AS (SELECT m1, m2, m3, sum(n_in) AS n_in, sum(IF(w1 = '⏎⏎', least(n_end, 1), n_end)) AS n_end, sum(n_short) AS n_short FROM {every} GROUP BY m1, m2, m3 HAVING max(asked) = 1),
 pairs AS (SELECT m2, m3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} WHERE w1 <> '⏎⏎' GROUP BY m2, m3 HAVING max(asked) = 1),
 words AS (SELECT w3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} WHERE w1 <> '⏎⏎' GROUP BY w3 HAVING max(asked) = 1),
 -- longer words in the same place: of those, a final piece of a word is a part
 longer AS (
   SELECT w1, w2, w3, sum(n) AS n_longer
   FROM (
-    SELECT w1, w2, n_in + n_end AS n, explode(transform(filter(sequence(1, length(w3) - 1), k -> substr(w3, k, 2) RLIKE '^[\\p{{L}}\\p{{N}}]{{2}}$'), k -> left(w3, k))) AS w3
+    SELECT w1, w2, n_in + n_end AS n, explode(transform(filter(sequence(1, length(w3) - 1), k -> substr(w3, k, 2) RLIKE :inner), k -> left(w3, k))) AS w3
     FROM (SELECT * FROM {every} LEFT SEMI JOIN (SELECT w1, w2 FROM {every} WHERE asked = 1 AND w1 <> '⏎⏎' AND NOT w3 RLIKE :stop) USING (w1, w2)) WHERE length(w3) BETWEEN 2 AND :longest)
   GROUP BY w1, w2, w3),
 lines AS (
@@ -139,9 +142,9 @@ best AS (
     try_element_at(filter(lined, x -> x.n_in + x.n_end > :support), 1) AS b
   FROM joined)
 SELECT f.*, IF(stop, s.n_in, coalesce(o.n_in, b.n_in)) AS n_in, IF(stop, s.n_end, coalesce(o.n_end, b.n_end)) AS n_end, n_longer,
-  CASE WHEN signed AND NOT stop THEN true
+  CASE WHEN (signed OR w3 RLIKE :formed) AND NOT stop THEN true
        WHEN signed THEN s.n_in + s.n_end >= :support AND s.n_end < :doubtful * (s.n_in + s.n_end)
-       WHEN NOT stop AND o IS NOT NULL THEN o.n_end < o.least * (o.n_in + o.n_end) OR (n_longer >= :support AND o.n_end < n_longer AND levels[0].n_in = 0)
+       WHEN NOT stop AND o IS NOT NULL THEN o.n_end < o.least * (o.n_in + o.n_end) OR (n_longer >= :support AND o.n_end < n_longer AND levels[0].n_in < n_longer)
        WHEN NOT stop THEN b IS NULL OR b.n_end - IF(f.opening = '', 0, 1) < :whole * (b.n_in + b.n_end) OR (n_longer >= :support AND b.n_end < n_longer)
        WHEN w3 = '0.' THEN levels[0].n_in + levels[0].n_end >= :support AND levels[0].n_end < :doubtful * (levels[0].n_in + levels[0].n_end)
        ELSE s.n_in + s.n_end >= :trusted AND s.n_end < :never * (s.n_in + s.n_end) END AS truncated
@@ -160,7 +163,7 @@ def judge(documents: DataFrame) -> DataFrame:
     lines = cut_lineage(normalised(documents.select("doc_id", "source", "text")))  # read twice; normalising costs more than a copy
     finals = cut_lineage(spark.sql(_FINALS, args={"short": SHORT}, lines=lines))
     counts = spark.sql(_COUNTS, args={"short": SHORT}, lines=lines)
-    args = {"stop": SENTENCE_END, "support": SUPPORT, "trusted": SUPPORT_STOP, "never": ALMOST_NEVER, "doubtful": ALMOST_NEVER_DOUBTFUL, "whole": WHOLE, "line": WHOLE_LINE, "few": FEW, "longest": LONGEST_WORD}
+    args = {"stop": SENTENCE_END, "support": SUPPORT, "trusted": SUPPORT_STOP, "never": ALMOST_NEVER, "doubtful": ALMOST_NEVER_DOUBTFUL, "whole": WHOLE, "line": WHOLE_LINE, "few": FEW, "longest": LONGEST_WORD, "formed": FORM_PIECE, "inner": r"^[\p{L}\p{N}]{2}$"}
     every = cut_lineage(spark.sql(_EVERY, args={"mask": _MASK}, finals=finals, counts=counts))
     return spark.sql(_JUDGED, args=args, finals=finals, every=every)
 
