@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.operators.ordered import neighbours
@@ -307,11 +307,18 @@ FACT_ALIASES = {
 _KEY_FIELDS = (*RECORD_KEY,)
 
 
+def _whole_text(branch: Column) -> Column:
+    """The text of a branch; an array's elements follow each other with a blank between, without nulls. An empty array states nothing."""
+    words = F.nullif(F.array_join(F.from_json(branch["text"], "array<string>"), " "), F.lit(""))
+    return F.when(branch["type"] == "array", words).otherwise(branch["text"])
+
+
 def consistent_facts(landing: DataFrame, d: Drift | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """One row per whole line of `landing`, in one schema however its file spelled and typed it.
 
     local_path, statement, adp_code, column_name, source_sheet, label, unit as text and integer, source_row
-    and value converted (`R119`, `119` and `[119, 119]` all give row 119); `branches` holds, per canonical field,
+    and value converted (`R119`, `119` and `[119, 119]` all give row 119; a text sent as a list of words is
+    all of them with a blank between); `branches` holds, per canonical field,
     the value as written and the type it had, so what doesn't convert isn't lost; `extras` the other fields.
     """
     d = d or drift(landing)
@@ -320,11 +327,12 @@ def consistent_facts(landing: DataFrame, d: Drift | None = None, aliases: dict[s
     long = long.join(names, ["fkey", "path"], "left").withColumn("field", F.coalesce("field", "path"))
     one = long.groupBy("fkey", "line_no", "record", "field").agg(F.max_by(F.struct("type", "text"), F.struct(F.col("text").isNotNull(), "path")).alias("b"))
     rows = one.groupBy("fkey", "line_no", "record").agg(F.map_from_entries(F.collect_list(F.struct("field", "b"))).alias("branches"))
-    first = lambda f: F.when(F.try_element_at("branches", F.lit(f))["type"] == "array", F.get_json_object(F.try_element_at("branches", F.lit(f))["text"], "$[0]")).otherwise(F.try_element_at("branches", F.lit(f))["text"])
+    of = lambda f: F.try_element_at("branches", F.lit(f))
+    first = lambda f: F.when(of(f)["type"] == "array", F.get_json_object(of(f)["text"], "$[0]")).otherwise(of(f)["text"])
     own = (*_KEY_FIELDS, "source_sheet", "source_row", "label", "unit", "value")
     return rows.join(d.files.select("fkey", "file_id", "source", "produced_at"), "fkey").select(
         "file_id", "source", "produced_at", "line_no",
-        *[first(f).alias(f) for f in ("local_path", "statement", "column_name", "source_sheet", "label", "unit")],
+        *[_whole_text(of(f)).alias(f) for f in ("local_path", "statement", "column_name", "source_sheet", "label", "unit")],
         first("adp_code").try_cast("int").alias("adp_code"),
         F.regexp_extract(F.coalesce(first("source_row"), F.lit("")), r"(\d+)", 1).try_cast("int").alias("source_row"),
         first("value").try_cast("double").alias("value"),

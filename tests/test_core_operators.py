@@ -61,6 +61,12 @@ def test_drift_ignores_extra_columns_and_agrees_with_its_table(spark):
     assert sorted((r.file_id, r.source_row, r.unit) for r in facts.collect()) == [(1, 5, "EUR"), (2, 5, "EUR"), (2, 7, None)]
 
 
+def test_facts_join_the_words_of_arrays(spark):
+    lines = [_rec(1, label=["Shares", "issued"], unit=["EUR"], source_sheet=["P&L", None, "2"]), _rec(2, label="Shares", source_row=[119, 119]), _rec(3, label=[])]
+    got = {r.adp_code: (r.label, r.unit, r.source_sheet, r.source_row) for r in drift.consistent_facts(_landing(spark, [("a", 1, 0, lines)])).collect()}
+    assert got == {1: ("Shares issued", "EUR", "P&L 2", None), 2: ("Shares", None, None, 119), 3: (None, None, None, None)}
+
+
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8))
 @settings(max_examples=100, deadline=None)
 def test_flatten_keeps_values(v):
