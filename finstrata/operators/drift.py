@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finstrata.functions.exprs import european_number
 from finstrata.operators.ordered import neighbours
 from finstrata.session import cut_lineage, share_code
 
@@ -313,12 +314,24 @@ def _whole_text(branch: Column) -> Column:
     return F.when(branch["type"] == "array", words).otherwise(branch["text"])
 
 
+def _amount(branch: Column) -> Column:
+    """The number a branch states: numbers as they are, texts also in European form (`1.234,5`) or with an exponent. An array must hold one element; null for anything else."""
+    one = F.when(F.size(F.from_json(branch["text"], "array<string>")) == 1, F.get_json_object(branch["text"], "$[0]"))
+    text = F.when(branch["type"] == "array", one).otherwise(branch["text"])
+    plain = F.trim(text)
+    read = F.coalesce(
+        european_number(text), F.when(plain.rlike(r"^[-+]?\d{1,3}(?:\.\d{3}){2,}$"), F.replace(plain, F.lit("."), F.lit("")).try_cast("double")),
+        F.when(plain.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)[eE][-+]?\d+$"), plain.try_cast("double")),
+    )
+    return F.when(branch["type"].isin("integer", "decimal"), text.try_cast("double")).when(branch["type"].isin("string", "array"), read)
+
+
 def consistent_facts(landing: DataFrame, d: Drift | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """One row per whole line of `landing`, in one schema however its file spelled and typed it.
 
     local_path, statement, adp_code, column_name, source_sheet, label, unit as text and integer, source_row
     and value converted (`R119`, `119` and `[119, 119]` all give row 119; a text sent as a list of words is
-    all of them with a blank between); `branches` holds, per canonical field,
+    all of them with a blank between; `188.578,29` is the value 188578.29); `branches` holds, per canonical field,
     the value as written and the type it had, so what doesn't convert isn't lost; `extras` the other fields.
     """
     d = d or drift(landing)
@@ -335,7 +348,7 @@ def consistent_facts(landing: DataFrame, d: Drift | None = None, aliases: dict[s
         *[_whole_text(of(f)).alias(f) for f in ("local_path", "statement", "column_name", "source_sheet", "label", "unit")],
         first("adp_code").try_cast("int").alias("adp_code"),
         F.regexp_extract(F.coalesce(first("source_row"), F.lit("")), r"(\d+)", 1).try_cast("int").alias("source_row"),
-        first("value").try_cast("double").alias("value"),
+        _amount(of("value")).alias("value"),
         F.map_filter("branches", lambda k, _: k.isin(*own)).alias("branches"),
         F.transform_values(F.map_filter("branches", lambda k, _: ~k.isin(*own)), lambda _, b: b["text"]).alias("extras"),
     )

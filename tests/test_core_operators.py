@@ -67,6 +67,15 @@ def test_facts_join_the_words_of_arrays(spark):
     assert got == {1: ("Shares issued", "EUR", "P&L 2", None), 2: ("Shares", None, None, 119), 3: (None, None, None, None)}
 
 
+def test_facts_read_amounts_as_written(spark, sf):
+    written = {1: "188.578,29", 2: "128,94", 3: "1.234.567", 4: "-2,5", 5: "1e3", 6: ["7,5"], 7: [1, 2], 8: 9, 9: 9.5, 10: "n/a", 11: True, 12: None}
+    rows = drift.consistent_facts(_landing(spark, [("a", 1, 0, [_rec(n, value=v) for n, v in written.items()])])).collect()
+    assert {r.adp_code: r.value for r in rows} == {1: 188578.29, 2: 128.94, 3: 1234567.0, 4: -2.5, 5: 1000.0, 6: 7.5, 7: None, 8: 9.0, 9: 9.5, 10: None, 11: None, 12: None}
+    assert {r.adp_code: r.branches["value"].text for r in rows if r.value is None} == {7: "[1, 2]", 10: "n/a", 11: "true", 12: None}
+    stated = drift.consistent_facts(spark.read.parquet(f"{sf}/facts_landing.parquet")).select("value", F.col("branches")["value"].alias("b")).filter("b.text IS NOT NULL").collect()
+    assert [r.value for r in stated] == [float(r.b.text.replace(".", "").replace(",", ".") if r.b.type == "string" else r.b.text) for r in stated]
+
+
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8))
 @settings(max_examples=100, deadline=None)
 def test_flatten_keeps_values(v):
