@@ -263,23 +263,25 @@ def drift(landing: DataFrame) -> Drift:
 
 
 def canonical_names(d: Drift, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(fkey, path, field): the name a path's lineage began with, then `aliases` of that name.
+    """(fkey, path, field): the name a path's lineage began with, or what `aliases` say of its first name that they know.
 
-    Renames are followed from link to link, doubling the distance each round.
+    Known are the names they lead from and to and the record's key. Renames are followed from link to link,
+    doubling the distance each round.
     """
     runs = d.state.filter("origin <> 'stayed'").select(F.col("fkey").alias("run_fkey"), "path", "prev_fkey", "old_path")
     at = d.state.select(F.col("fkey").alias("prev_fkey"), F.col("path").alias("old_path"), F.col("run_fkey").alias("up_fkey"))
     links = cut_lineage(runs.join(at, ["prev_fkey", "old_path"], "left").select("run_fkey", "path", F.when(F.col("up_fkey").isNotNull(), F.col("old_path")).alias("up_path"), "up_fkey"))
-    links = links.withColumn("field", F.coalesce("up_path", "path"))
+    links = links.withColumn("field", F.coalesce("up_path", "path")).withColumn("root", F.coalesce("up_fkey", "run_fkey"))
     while links.filter("up_fkey IS NOT NULL").limit(1).count():
-        up = links.select(F.col("run_fkey").alias("up_fkey"), F.col("path").alias("up_path"), F.col("up_fkey").alias("u_fkey"), F.col("up_path").alias("u_path"), F.col("field").alias("u_field"))
-        links = cut_lineage(links.join(up, ["up_fkey", "up_path"], "left").select("run_fkey", "path", F.col("u_path").alias("up_path"), F.col("u_fkey").alias("up_fkey"), F.coalesce("u_field", "field").alias("field")))
-    named = links.select("run_fkey", "path", "field")
-    out = d.state.select("fkey", "path", "run_fkey").join(named, ["run_fkey", "path"]).select("fkey", "path", "field")
+        up = links.select(F.col("run_fkey").alias("up_fkey"), F.col("path").alias("up_path"), F.col("up_fkey").alias("u_fkey"), F.col("up_path").alias("u_path"), F.col("field").alias("u_field"), F.col("root").alias("u_root"))
+        links = cut_lineage(links.join(up, ["up_fkey", "up_path"], "left").select("run_fkey", "path", F.col("u_path").alias("up_path"), F.col("u_fkey").alias("up_fkey"), F.coalesce("u_field", "field").alias("field"), F.coalesce("u_root", "root").alias("root")))
+    named = links.select("run_fkey", "path", "field", "root")
     if aliases:
-        known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-        out = out.withColumn("field", F.coalesce(F.try_element_at(known, F.col("field")), F.col("field")))
-    return out
+        known = F.create_map(*[F.lit(x) for kv in ({k: k for k in (*RECORD_KEY, *aliases.values())} | aliases).items() for x in kv])
+        said = named.join(d.files.select(F.col("fkey").alias("run_fkey"), "produced_at", "file_id"), "run_fkey").withColumn("known", F.try_element_at(known, "path"))
+        said = said.filter("known IS NOT NULL").groupBy("root", "field").agg(F.min_by("known", F.struct("produced_at", "file_id")).alias("known"))
+        named = named.join(said, ["root", "field"], "left").withColumn("field", F.coalesce("known", "field"))
+    return d.state.select("fkey", "path", "run_fkey").join(named, ["run_fkey", "path"]).select("fkey", "path", "field")
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +304,7 @@ FACT_ALIASES = {
     "sheet_name": "source_sheet", "sheet": "source_sheet", "worksheet": "source_sheet", "list_obrasca": "source_sheet", "source.sheet": "source_sheet",
     "sourceSheet": "source_sheet", "SOURCE_SHEET": "source_sheet", "Source_Sheet": "source_sheet",
     "row": "source_row", "row_no": "source_row", "redak": "source_row", "rbr": "source_row", "source.row": "source_row", "sourceRow": "source_row", "SOURCE_ROW": "source_row",
-    "Label": "label", "naziv": "label", "pozicija": "label", "caption.text": "label", "item_text": "label", "opis_pozicije": "label",
+    "Label": "label", "naziv": "label", "pozicija": "label", "caption.text": "label", "item_text": "label", "opis_pozicije": "label", "lineLabel": "label",
     "measure": "unit", "valuta": "unit", "currency": "unit", "reported.unit": "unit", "iznos": "value", "amount": "value", "val": "value", "reported.value": "value",
 }
 _KEY_FIELDS = (*RECORD_KEY,)
@@ -332,14 +334,23 @@ def consistent_facts(landing: DataFrame, d: Drift | None = None, aliases: dict[s
     local_path, statement, adp_code, column_name, source_sheet, label, unit as text and integer, source_row
     and value converted (`R119`, `119` and `[119, 119]` all give row 119; a text sent as a list of words is
     all of them with a blank between; `188.578,29` is the value 188578.29); `branches` holds, per canonical field,
-    the value as written and the type it had, so what doesn't convert isn't lost; `extras` the other fields.
+    the value as written and the type it had, so what doesn't convert isn't lost; `extras` likewise the other fields, and
+    under their own names those of a line in which another spelling of the same field counts.
     """
     d = d or drift(landing)
     names = canonical_names(d, FACT_ALIASES if aliases is None else aliases)
     long = _keyed(landing).select("fkey", "line_no", "payload").mapInArrow(_branches, "fkey string, line_no int, record string, path string, type string, text string")
     long = long.join(names, ["fkey", "path"], "left").withColumn("field", F.coalesce("field", "path"))
-    one = long.groupBy("fkey", "line_no", "record", "field").agg(F.max_by(F.struct("type", "text"), F.struct(F.col("text").isNotNull(), "path")).alias("b"))
-    rows = one.groupBy("fkey", "line_no", "record").agg(F.map_from_entries(F.collect_list(F.struct("field", "b"))).alias("branches"))
+    one = long.groupBy("fkey", "line_no", "record", "field").agg(F.sort_array(F.collect_set(F.struct(F.col("text").isNotNull().alias("some"), "path", F.struct("type", "text").alias("b"))), asc=False).alias("all"))
+    # the first of each path; only the first of all is the field
+    apart = F.aggregate("all", F.expr("cast(array() as array<struct<some:boolean,path:string,b:struct<type:string,text:string>>>)"), lambda done, x: F.when(F.exists(done, lambda y: y.path == x.path), done).otherwise(F.concat(done, F.array(x))))
+    one = one.withColumn("all", F.when(F.size("all") > 1, apart).otherwise(F.col("all")))
+    rows = one.groupBy("fkey", "line_no", "record").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", F.col("all")[0]["b"].alias("b")))).alias("branches"),
+        F.flatten(F.collect_list(F.transform(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), lambda x: F.struct(x.path.alias("path"), F.col("field").alias("field"), x.b.alias("b"))))).alias("more"),
+    )
+    name = lambda x: F.when(F.map_contains_key("branches", x.path), F.concat_ws(SEP, x.path, x.field)).otherwise(x.path)
+    more = F.map_from_entries(F.transform("more", lambda x: F.struct(name(x), x.b)))
     of = lambda f: F.try_element_at("branches", F.lit(f))
     first = lambda f: F.when(of(f)["type"] == "array", F.get_json_object(of(f)["text"], "$[0]")).otherwise(of(f)["text"])
     own = (*_KEY_FIELDS, "source_sheet", "source_row", "label", "unit", "value")
@@ -350,5 +361,5 @@ def consistent_facts(landing: DataFrame, d: Drift | None = None, aliases: dict[s
         F.regexp_extract(F.coalesce(first("source_row"), F.lit("")), r"(\d+)", 1).try_cast("int").alias("source_row"),
         _amount(of("value")).alias("value"),
         F.map_filter("branches", lambda k, _: k.isin(*own)).alias("branches"),
-        F.transform_values(F.map_filter("branches", lambda k, _: ~k.isin(*own)), lambda _, b: b["text"]).alias("extras"),
+        F.map_concat(F.map_filter("branches", lambda k, _: ~k.isin(*own)), more).alias("extras"),
     )

@@ -39,7 +39,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.consistent_facts(table(spark, sf_dir, "facts_landing")).drop("branches", "extras")
+    return drift.consistent_facts(table(spark, sf_dir, "facts_landing"))
 
 
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from finstrata.functions import exprs as E
 from finstrata.functions.text import alnum_key, fold
 from finstrata.operators import drift, history, units, wide
 from finstrata.operators.ordered import neighbours
+from finstrata.plans import corpus
 
 T = dt.datetime
 
@@ -76,6 +77,20 @@ def test_facts_read_amounts_as_written(spark, sf):
     assert [r.value for r in stated] == [float(r.b.text.replace(".", "").replace(",", ".") if r.b.type == "string" else r.b.text) for r in stated]
 
 
+def test_facts_keep_branches_and_later_names(spark, tmp_path):
+    files = [
+        ("a", 1, 0, [_rec(1, lineLabel="Sales", zz="RDG", page=3, value="n/a")]),
+        ("a", 2, 1, [_rec(1, naziv="Sales", sheet="RDG", page="3", value=2), _rec(2, naziv="Costs", sheet="RDG", value=1.5)]),
+        ("b", 3, 0, [_rec(1, label=None, Label="Own", naziv="Other")]),
+    ]
+    _landing(spark, files).write.parquet(f"{tmp_path}/facts_landing.parquet")
+    rows = {(r.file_id, r.adp_code): r for r in corpus.p1_facts(spark, str(tmp_path)).collect()}
+    assert {k: (r.label, r.source_sheet, r.value) for k, r in rows.items()} == {(1, 1): ("Sales", "RDG", None), (2, 1): ("Sales", "RDG", 2.0), (2, 2): ("Costs", "RDG", 1.5), (3, 1): ("Other", None, None)}
+    assert rows[1, 1].branches["value"] == ("string", "n/a")
+    assert [rows[k, 1].extras["page"] for k in (1, 2)] == [("integer", "3"), ("string", "3")]
+    assert {k: tuple(v) for k, v in rows[3, 1].extras.items()} == {"Label": ("string", "Own"), f"label{drift.SEP}label": (None, None)}
+
+
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8))
 @settings(max_examples=100, deadline=None)
 def test_flatten_keeps_values(v):
