@@ -128,7 +128,7 @@ RULES: tuple[tuple[str, tuple[str, ...], int | None], ...] = (
     ("core~2 country town", ("country", "town"), 2),
 )
 ATTRIBUTES = ("line", "country", "town", "form")
-#: Cores under which more pairs than this would meet take all attributes into the key: so many alike can't be told apart by less.
+#: Pieces of cores under which more pairs than this would meet are joined on the attributes both sides state too, which only spares pairs that contradict.
 MAX_OPEN = 10_000
 #: Letters of a name's core beyond which typing errors aren't looked for.
 LONGEST_TYPED = 60
@@ -162,9 +162,19 @@ def _open(d: DataFrame, resolved: DataFrame, column: str) -> DataFrame:
     return d.join(resolved.select(F.col(column).alias("id")), "id", "left_anti")
 
 
-def _rest() -> Column:
-    """One number for all of a record's attributes, nulls included."""
-    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("\x00")) for c in ATTRIBUTES])
+def _compatible(piece: str, keys: tuple[str, ...], registry: bool) -> Column:
+    """A record's keys in a crowded piece: one for each set of attributes a partner may state, of the values both would state.
+
+    Two records share a key only if they contradict each other in no attribute, and then just one.
+    """
+    mask = lambda has: sum((F.when(h, 1 << i).otherwise(0) for i, h in enumerate(has)), F.lit(0))
+    own = mask([F.col(c).isNotNull() for c in ATTRIBUTES])
+    hashes = []
+    for t in range(1 << len(ATTRIBUTES)):
+        stated = [c for i, c in enumerate(ATTRIBUTES) if t >> i & 1]
+        if set(keys) <= set(stated):
+            hashes.append(F.xxhash64(piece, *((own, F.lit(t)) if registry else (F.lit(t), own)), *stated))
+    return F.array(*hashes)
 
 
 def _crowded(g: DataFrame, l: DataFrame, deletions: int) -> DataFrame:  # noqa: E741
@@ -173,23 +183,21 @@ def _crowded(g: DataFrame, l: DataFrame, deletions: int) -> DataFrame:  # noqa:
     return n(g, "n").join(n(l, "m"), "piece").filter(F.col("n") * F.col("m") > MAX_OPEN).select("piece")
 
 
-def _hashed(d: DataFrame, keys: tuple[str, ...], deletions: int, crowd: DataFrame | None) -> DataFrame:
-    """(id, h): a record's id with the 64-bit hash of each of its keys; those of a crowded piece hold all attributes.
+def _hashed(d: DataFrame, keys: tuple[str, ...], deletions: int, crowd: DataFrame | None, registry: bool) -> DataFrame:
+    """(id, h): a record's id with the 64-bit hash of each of its keys; those of a crowded piece are `_compatible`.
 
-    A record with the one key of its whole core keeps its attributes.
+    Without deletions a record keeps its attributes.
     """
     full = F.col("core").isNotNull()
     for k in keys:
         full = full & F.col(k).isNotNull()
     d = d.filter(full)
     key = lambda p: F.xxhash64(p, *[F.col(k) for k in keys])
-    if not deletions:
-        mine = crowd.select(F.col("piece").alias("core"), F.lit(True).alias("crowded")) if crowd is not None else None
-        return d.withColumn("h", key(F.col("core"))) if mine is None else d.join(mine, "core", "left").withColumn("h", F.when(F.col("crowded"), F.xxhash64("core", _rest(), *keys)).otherwise(key(F.col("core")))).drop("crowded")
     if crowd is None:
-        return d.select("id", F.explode(F.transform(_pieces(F.col("core"), deletions), key)).alias("h"))
-    each = d.select("id", _rest().alias("rest"), *keys, F.explode(_pieces(F.col("core"), deletions)).alias("piece"))
-    return each.join(crowd.withColumn("crowded", F.lit(True)), "piece", "left").select("id", F.when(F.col("crowded"), F.xxhash64("piece", "rest", *keys)).otherwise(key(F.col("piece"))).alias("h"))
+        return d.withColumn("h", key(F.col("core"))) if not deletions else d.select("id", F.explode(F.transform(_pieces(F.col("core"), deletions), key)).alias("h"))
+    each = d.withColumn("piece", F.col("core")) if not deletions else d.select("id", *ATTRIBUTES, F.explode(_pieces(F.col("core"), deletions)).alias("piece"))
+    each = each.join(crowd.withColumn("crowded", F.lit(True)), "piece", "left").withColumn("h", F.explode(F.when(F.col("crowded"), _compatible("piece", keys, registry)).otherwise(F.array(key(F.col("piece"))))))
+    return each.select("id", "h") if deletions else each.drop("piece", "crowded")
 
 
 def _proposals(g: DataFrame, l: DataFrame, resolved: DataFrame, keys: tuple[str, ...], deletions: int, crowd: DataFrame | None) -> DataFrame:  # noqa: E741
@@ -197,8 +205,8 @@ def _proposals(g: DataFrame, l: DataFrame, resolved: DataFrame, keys: tuple[str,
 
     Of pieces only ids and hashes are exploded and shuffled; the attributes join the pairs after.
     """
-    a = _hashed(_open(g, resolved, "lei"), keys, deletions, crowd)
-    b = _hashed(_open(l, resolved, "entity_id"), keys, deletions, crowd)
+    a = _hashed(_open(g, resolved, "lei"), keys, deletions, crowd, True)
+    b = _hashed(_open(l, resolved, "entity_id"), keys, deletions, crowd, False)
     if deletions:
         pairs = a.select(F.col("id").alias("lei"), "h").join(b.select(F.col("id").alias("entity_id"), "h"), "h").select("lei", "entity_id").distinct()
         both = pairs.join(g.alias("g"), F.col("g.id") == F.col("lei")).join(l.alias("l"), F.col("l.id") == F.col("entity_id"))

@@ -184,3 +184,14 @@ def test_crowded_names_keep_what_all_attributes_tell(spark, monkeypatch):
     gd = spark.createDataFrame([(f"L{i}", "Hot Name Hotels d.d.", "HR", t, None) for i, t in enumerate(towns)], GLEIF)
     rd = spark.createDataFrame([(f"E{i}", "Hoteli Hot Name d.d.", "HR", t, None) for i, t in enumerate(towns)], LOCAL)
     assert {(x.lei, x.entity_id) for x in matching.match(gd, rd).collect()} == {(f"L{i}", f"E{i}") for i in range(6)}
+
+
+def test_crowded_names_meet_where_an_attribute_is_missing(spark, monkeypatch):
+    towns = ["Zagreb", "Split", "Pula", "Zadar", "Osijek", "Sisak"]
+    gd = spark.createDataFrame([(f"L{i}", "Hot Name Hotels d.d.", "HR", t, f"{i}23456789") for i, t in enumerate(towns)], GLEIF)
+    rd = spark.createDataFrame([(f"E{i}", "Hoteli Hot Name" + " d.d." * (i % 2), ["HR", None][i // 2 % 2], [t, None][i // 3], f"reg. no. {i}2345????") for i, t in enumerate(towns)], LOCAL)
+    rows = lambda: sorted(tuple(x) for x in matching.match(gd, rd, matching.RULES[:1] + matching.RULES[8:10], least=0.0).collect())
+    free = rows()
+    monkeypatch.setattr(matching, "MAX_OPEN", 20)
+    assert rows() == free
+    assert {x[:2] for x in free} == {(f"L{i}", f"E{i}") for i in range(6)}
