@@ -151,6 +151,12 @@ def period_compare(spark, sf_dir):
     return y.groupBy("ticker").pivot("year", [1996, 1997, 1998, 1999, 2000]).agg(F.round(F.first("value"), 2)).select("ticker", *[F.col(str(k)).alias(f"y{k}") for k in range(1996, 2001)])
 
 
+def period_years(spark, sf_dir):
+    """Each ticker's values of all its years, by year."""
+    y = _yearly(spark, sf_dir).select("ticker", F.struct("year", F.round("value", 2).alias("value")).alias("e"))
+    return y.groupBy("ticker").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("years"))
+
+
 # --- securities and events ----------------------------------------------------------------
 
 
@@ -173,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         preferred_report, candidate_reports, coverage, latest_metric, report_sources, field_availability, report_periods, yearly_ratio,
-        ttm, growth, annual_trends, period_compare, latest_snapshot, snapshot_history, asof_profile,
+        ttm, growth, annual_trends, period_compare, period_years, latest_snapshot, snapshot_history, asof_profile,
     )
 }
 
@@ -215,6 +221,7 @@ ORACLES = {
       j AS (SELECT a.ticker, a.year, round(a.v, 2) AS value, round((a.v - b.v) / nullif(abs(b.v), 0) * 100, 4) AS yoy, row_number() OVER (PARTITION BY a.ticker ORDER BY a.year DESC) AS k FROM y a LEFT JOIN y b ON b.ticker = a.ticker AND b.year = a.year - 1)
       SELECT ticker, year, value, yoy FROM j WHERE k <= 5""",
     "period_compare": f"WITH {_FLOWS}, {_TTM} SELECT ticker, " + ", ".join(f"round(max(value) FILTER (year = {k}), 2) AS y{k}" for k in range(1996, 2001)) + " FROM t WHERE quarter IS NULL GROUP BY ticker",
+    "period_years": f"WITH {_FLOWS}, {_TTM} SELECT ticker, map_from_entries(list((year, round(value, 2)) ORDER BY year)) AS years FROM t WHERE quarter IS NULL GROUP BY ticker",
     "latest_snapshot": "SELECT key, snapshot_id, listed_quantity, updated_at FROM (SELECT upper(trim(ticker)) AS key, *, row_number() OVER (PARTITION BY upper(trim(ticker)) ORDER BY updated_at DESC NULLS LAST, ingested_at DESC NULLS LAST, snapshot_id DESC) AS k FROM securities) WHERE k = 1",
     "snapshot_history": "SELECT user_id, CAST(n AS INT) AS n, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5",
     "asof_profile": "SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') WHERE k = 1",
