@@ -18,6 +18,19 @@ def shared_items(df: DataFrame, group: str, item: str) -> DataFrame:
     return d.alias("a").join(d.alias("b"), (F.col("a.i") == F.col("b.i")) & (F.col("a.g") < F.col("b.g"))).groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def overlaps(df: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b, shared, only_a, only_b): how many items two groups (a < b) that share one have in common, and the items only either has, sorted.
+
+    Groups of one set of items are a class; classes meet over their items, and their members after.
+    """
+    sets = df.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL").groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("items"))
+    keys = sets.select("items").distinct().select("items", F.explode("items").alias("i"))
+    met = keys.alias("x").join(keys.alias("y"), F.col("x.i") == F.col("y.i")).select(F.col("x.items").alias("xs"), F.col("y.items").alias("ys")).distinct()
+    told = met.select("xs", "ys", F.size(F.array_intersect("xs", "ys")).cast("bigint").alias("shared"), F.array_except("xs", "ys").alias("only_a"), F.array_except("ys", "xs").alias("only_b"))
+    pairs = told.join(sets.select(F.col("g").alias("a"), F.col("items").alias("xs")), "xs").join(sets.select(F.col("g").alias("b"), F.col("items").alias("ys")), "ys")
+    return pairs.filter("a < b").select("a", "b", "shared", "only_a", "only_b")
+
+
 def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys that only one of the two has."""
     a, b = left.select(key).distinct(), right.select(key).distinct()

@@ -83,6 +83,12 @@ def pairwise_overlap(spark, sf_dir):
     return R.shared_items(m.filter("metric IN ('orderbacklog', 'overnightstays', 'occupancyrate', 'berths', 'fleetunits', 'installedpowermw')"), "issuer_code", "metric")
 
 
+def metric_overlap(spark, sf_dir):
+    """Issuers that report the same metrics, of all metrics, and what only either reports."""
+    m = table(spark, sf_dir, "metrics").withColumn("metric", F.regexp_replace(F.lower("metric_name"), "[^a-z0-9]+", ""))
+    return R.overlaps(m, "issuer_code", "metric")
+
+
 def set_gap(spark, sf_dir):
     """Paths that only facts or only metrics know."""
     return R.set_differences(table(spark, sf_dir, "facts").filter("local_path IS NOT NULL"), table(spark, sf_dir, "metrics").filter("local_path IS NOT NULL"), "local_path")
@@ -208,7 +214,7 @@ def scalar_suite(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dup_groups, dup_hash, integrity, repair_keep, orphans, referenced_flag, dataset_counts, argmax_join, merge_precedence, pairwise_overlap, set_gap,
+        dup_groups, dup_hash, integrity, repair_keep, orphans, referenced_flag, dataset_counts, argmax_join, merge_precedence, pairwise_overlap, metric_overlap, set_gap,
         upsert_last, upsert_keep_old, upsert_keep_new, upsert_some, replace_snapshot, row_counts, category_counts, bounded_selection, label_search, pending_docs,
         first_url, structural_link, dimension_inventory, best_filing, entity_id, url_parts, scalar_suite,
     )
@@ -240,6 +246,9 @@ ORACLES = {
     "pairwise_overlap": """WITH m AS (SELECT DISTINCT issuer_code, regexp_replace(lower(metric_name), '[^a-z0-9]+', '', 'g') AS metric FROM metrics WHERE issuer_code IS NOT NULL),
       r AS (SELECT * FROM m WHERE metric IN ('orderbacklog', 'overnightstays', 'occupancyrate', 'berths', 'fleetunits', 'installedpowermw'))
       SELECT a.issuer_code AS a, b.issuer_code AS b, count(*) AS shared FROM r a JOIN r b ON a.metric = b.metric AND a.issuer_code < b.issuer_code GROUP BY 1, 2""",
+    "metric_overlap": """WITH m AS (SELECT issuer_code AS g, list_sort(list(DISTINCT regexp_replace(lower(metric_name), '[^a-z0-9]+', '', 'g'))) AS s FROM metrics WHERE issuer_code IS NOT NULL AND metric_name IS NOT NULL GROUP BY 1)
+      SELECT a.g AS a, b.g AS b, len(list_intersect(a.s, b.s)) AS shared, list_sort(list_filter(a.s, lambda x: NOT list_contains(b.s, x))) AS only_a, list_sort(list_filter(b.s, lambda x: NOT list_contains(a.s, x))) AS only_b
+      FROM m a JOIN m b ON a.g < b.g AND list_has_any(a.s, b.s)""",
     "set_gap": """(SELECT local_path, 'left' AS side FROM (SELECT local_path FROM facts WHERE local_path IS NOT NULL EXCEPT SELECT local_path FROM metrics)) UNION ALL
       (SELECT local_path, 'right' FROM (SELECT local_path FROM metrics WHERE local_path IS NOT NULL EXCEPT SELECT local_path FROM facts))""",
     "upsert_last": f"WITH {_EV} SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM e) WHERE k = 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from finstrata.functions import exprs as E
 from finstrata.functions.text import alnum_key, fold
-from finstrata.operators import drift, history, units, wide
+from finstrata.operators import drift, history, relational, units, wide
 from finstrata.operators.ordered import neighbours
 from finstrata.plans import corpus
 
@@ -245,3 +245,9 @@ def test_scalars(spark):
     assert _one(spark, E.lei_code(F.col("t")), t="short") is None
     assert _one(spark, fold(F.col("t")), t="  ĐURO  Šarić ") == "duro saric"
     assert _one(spark, alnum_key(F.col("t")), t="Current-Period 1") == "currentperiod1"
+
+
+def test_overlaps_of_all_items_with_both_differences(spark):
+    df = spark.createDataFrame([(g, i) for g, items in {"a": "xy", "b": "xy", "c": "yz", "d": "w"}.items() for i in items] + [("a", "x"), (None, "x"), ("d", None)], "g string, i string")
+    got = sorted((r.a, r.b, r.shared, "".join(r.only_a), "".join(r.only_b)) for r in relational.overlaps(df, "g", "i").collect())
+    assert got == [("a", "b", 2, "", ""), ("a", "c", 1, "x", "z"), ("b", "c", 1, "x", "z")]
