@@ -61,7 +61,7 @@ def to_wide(resolved: DataFrame, attributes: list[str], types: dict[str, str] |
 
     A cell is null where the entity has no such pair or where the value doesn't cast; in the second
     case cast_failures (a map) holds the value as text. Pairs whose attribute isn't asked for stay in
-    the map `other`. With no attributes the result has the id and the two maps.
+    the map `other`, which is called `_other` where an attribute has that name. With no attributes the result has the id and the two maps.
     """
     types = types or {}
     if bad := {t for t in types.values()} - set(TYPES):
@@ -75,7 +75,7 @@ def to_wide(resolved: DataFrame, attributes: list[str], types: dict[str, str] |
     failed = [F.struct(F.lit(a).alias("key"), F.try_element_at("kv", F.lit(a)).cast("string").alias("value"), F.try_element_at("kv", F.lit(a)).try_cast(types.get(a, "double")).isNull().alias("bad")) for a in casts]
     empty = F.lit(None).cast("map<string,string>")
     failures = F.map_from_entries(F.transform(F.filter(F.array(*failed), lambda x: x.bad & x.value.isNotNull()), lambda x: F.struct(x.key, x.value))) if failed else empty
-    return by.select(entity, *cells, failures.alias("cast_failures"), F.map_filter("kv", lambda k, _: ~F.array_contains(known, k)).alias("other"))
+    return by.select(entity, *cells, failures.alias("cast_failures"), F.map_filter("kv", lambda k, _: ~F.array_contains(known, k)).alias("_other" if "other" in attributes else "other"))
 
 
 def cells(table: DataFrame, attributes: list[str], entity: str = "local_path") -> DataFrame:

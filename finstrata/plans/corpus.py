@@ -29,9 +29,9 @@ def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = p4_wide(spark, sf_dir)
-    names = [c for c in w.columns if c not in ("local_path", "cast_failures", "other")]
-    return wide.cells(w, names).select("local_path", "attribute", F.round(F.col("value") * 1_000_000).cast("bigint").alias("value_micro"))
+    resolved = wide.resolve(wide.pairs(table(spark, sf_dir, "facts"), table(spark, sf_dir, "metrics")))
+    names = wide.known_attributes(resolved)
+    return wide.cells(wide.to_wide(resolved, names), names).select("local_path", "attribute", F.round(F.col("value") * 1_000_000).cast("bigint").alias("value_micro"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

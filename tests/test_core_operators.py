@@ -251,3 +251,9 @@ def test_overlaps_of_all_items_with_both_differences(spark):
     df = spark.createDataFrame([(g, i) for g, items in {"a": "xy", "b": "xy", "c": "yz", "d": "w"}.items() for i in items] + [("a", "x"), (None, "x"), ("d", None)], "g string, i string")
     got = sorted((r.a, r.b, r.shared, "".join(r.only_a), "".join(r.only_b)) for r in relational.overlaps(df, "g", "i").collect())
     assert got == [("a", "b", 2, "", ""), ("a", "c", 1, "x", "z"), ("b", "c", 1, "x", "z")]
+
+
+def test_wide_found_keeps_a_metric_named_other(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/facts.parquet").limit(0).write.parquet(f"{tmp_path}/facts.parquet")
+    spark.read.parquet(f"{sf}/metrics.parquet").limit(1).withColumns({"local_path": F.lit("p"), "metric_name": F.lit("Other"), "value": F.lit(2.0)}).write.parquet(f"{tmp_path}/metrics.parquet")
+    assert [tuple(r) for r in corpus.p4_found(spark, str(tmp_path)).collect()] == [("p", "other", 2_000_000)]
