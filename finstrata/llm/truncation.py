@@ -2,170 +2,175 @@
 
 Method, in SQL: every word trigram of the corpus is counted where it stands inside a line and where it
 ends a line or a text; the final trigrams of the texts are joined with those counts. A final trigram
-that is frequent inside and almost never at an end marks a text that breaks off. Words are split at
-white space and keep their punctuation; numbers, dates and company names count as one word each, so
-that `of HRK 48.7` or `od 14,9 mil.` have counts. Two marks before each line make its start visible, which tells
-a signature or a heading from the same words in a sentence.
-
-Where a trigram is too rare to tell, the same counts are taken with capitalised words masked,
-then of the last two words, then of the last word alone. A text without a sentence's full stop
-whose end nothing supports is cut: a piece of a word is found nowhere else.
+that goes on far more often than it ends marks a text that breaks off. Words are split at white space and
+keep their punctuation, numbers count as one word, two marks before each line make its start visible, and
+trigrams up to SHORT words into a line are counted apart from later ones, as headings, list entries and signatures are
+short. A word that others begin with is also counted where it is their beginning: a piece of a word ends nowhere else.
+
+Where a trigram is too rare to tell, the same counts are taken one level up: of the trigram with
+capitalised words masked, of its last two words, of its last word. In front of those stands, for a last line of up to SHORT
+words, the line itself as one long n-gram, as it is and masked (with a full stop only masked: a company's name that signs a text begins many sentences). Every level counts ends as it counts the rest. Only where
+no level has support a break sign decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from finstrata.session import cut_lineage
 
-#: Occurrences from which the counts of an end without, with a full stop are trusted.
-SUPPORT, SUPPORT_STOP = 8, 80
-#: Share of a trigram's occurrences that are ends, below which it counts as almost never terminal.
-ALMOST_NEVER = 0.02
-#: The same for a number with a full stop (the day or month of a date, mostly), and beside a break sign.
-ALMOST_NEVER_DOUBTFUL = 0.1
-#: Share of ends from which an end without a full stop is a whole line: of a trigram (or a masked line), of a short line among the lines that begin so.
-WHOLE, WHOLE_LINE = 0.5, 0.03
-#: Lines that begin alike from which a short line's counts are trusted.
-FEW = 2
-#: Characters of a word beyond which its beginnings aren't counted as pieces of it.
-LONGEST_WORD = 40
-#: Words of a short line.
+#: Occurrences, besides the text's own end, from which a level is trusted.
+SUPPORT = 5
+#: The same for an end with a full stop, which mostly ends a sentence.
+SUPPORT_STOP = 80
+#: Share of occurrences that are ends, below which a trigram counts as almost never terminal.
+ALMOST_NEVER, ALMOST_NEVER_STOP = 0.05, 0.02
+#: Words up to which a place in a line counts as near its start.
 SHORT = 8
+#: Finals that hold at least one in so many texts are looked up in a table sent to every executor; there are at most as many of them.
+HOT = 1000
 
-# Signs put where a text breaks off, and what a broken byte sequence leaves.
-BREAK_SIGN = r"(?:[\s​﻿]|…|\.{3,}|\[(?:…|\.{2,}|cut|truncated)\]|\((?:…|\.{2,}|cut|truncated)\)|\x{fffd})+$"
-_SIGNED = r"(?:…|\.{3,}|\[(?:…|\.{2,}|cut|truncated)\]|\((?:…|\.{2,}|cut|truncated)\)|\x{fffd})\s*$"
-# Legal forms that lack their end.
-FORM_PIECE = r"^(?:d|d\.d|d\.o|d\.o\.o|j\.d\.o\.o)$"
-# Legal forms that end a company's name.
-LEGAL_FORM = r"(?:d\.\s?d\.|d\.\s?o\.\s?o\.|j\.\s?d\.\s?o\.\s?o\.|а\.\s?д\.|д\.\s?д\.|д\.\s?о\.\s?о\.|a\.\s?d\.|AG|GmbH|plc)"
+# Signs put where a text breaks off, and what a broken byte sequence leaves; written backwards, to be read from the text's end.
+SIGN_BACKWARDS = r"^(?:[\s\p{Z}​﻿]|…|\.{3,}|\](?:…|\.{2,}|tuc|detacnurt)\[|\)(?:…|\.{2,}|tuc|detacnurt)\(|\x{fffd})++"
 #: Sentence end: full stop, question or exclamation mark, then closing quotes or brackets.
 SENTENCE_END = r"[.!?][\"'“”’»)\]]*$"
-
-_COMPANY = rf"(?<![\p{{L}}\p{{M}}-])(?:\p{{Lu}}[\p{{L}}\p{{M}}-]++ ){{1,4}}{LEGAL_FORM}"
-#: In this order: (what, by what).
-_NORMAL = (
-    (r"\r\n?", "\n"),
-    # lines wrapped inside a sentence, and quoted lines
-    (r"(?<![.!?:|\n])\n(?:> ?)?(?=\p{Ll}(?!\)))|\n> ?", " "),
-    (_COMPANY, "<C>"),
-    (r"(?<![\d.,])\d{1,2}(?:\. ?\d{1,2}\. ?| \p{L}{3,9} )(?:19|20)\d\d(?!\d)", "<D>"),
-    (r"(?<![\d.,])(?:19|20)\d\d(?!\d|[.,]\d)", "<Y>"),
-    (r"\d++(?:[.,]\d++)*+", "0"),
-    (r"(^|\n)[ \t]*+(?:[-–—•*·]|\p{Ll}\)|0[.)]|\[0\])[ \t]++", "$1• "),
-)
 _BLANK = r"[\s\p{Z}]+"
-_MASK = r"<C>|\p{Lu}[\p{L}\p{M}-]*"
-
-
-#: A break sign with its blanks is within so many characters at a text's end.
-_TAIL = 64
-
-
-def _normal(text: Column) -> Column:
-    text = F.rtrim(text)
-    text = F.concat(F.substring(text, F.lit(1), F.length(text) - _TAIL), F.regexp_replace(F.right(text, F.lit(_TAIL)), BREAK_SIGN, ""))
-    for what, by in _NORMAL:
-        text = F.regexp_replace(text, what, by)
-    return text
-
-
-def normalised(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, copy, n_chars, signed, lines): the normalised lines of each text that isn't null, empty or blank."""
-    lines = F.transform(F.split(_normal(F.col("text")), "\n"), lambda x: F.trim(F.regexp_replace(x, _BLANK, " ")))
-    return documents.filter(~F.col("text").rlike(rf"^(?:{_BLANK})?$")).select(
-        "doc_id", "source", F.xxhash64("text").alias("copy"), F.length("text").alias("n_chars"), F.right(F.rtrim("text"), F.lit(_TAIL)).rlike(_SIGNED).alias("signed"), F.filter(lines, lambda x: x != "").alias("lines")
-    )
+_ARGS = {
+    "backwards": SIGN_BACKWARDS, "blank": _BLANK, "empty": rf"^(?:{_BLANK})?$", "stop": SENTENCE_END, "shown": r"[^\s\p{Z}​﻿]", "inner": r"^[\p{L}\p{N}]{2}$", "short": SHORT,
+    # lines wrapped inside a sentence, and quoted lines
+    "wrapped": r"(?<![.!?:|\n])\n(?:> ?)?(?=\p{Ll}(?!\)))|\n> ?",
+    # a comma behind a last number is a part of it
+    "number": r"\d++(?:[.,]\d++)*+(?:,\z)?+",
+    "bullet": r"^(?:[-–—•*·]|\p{Ll}\)|0[.)]|\[0\]) +",
+    "names": r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}-]*+(?: \p{Lu}[\p{L}\p{M}-]*+)*+",
+    "support": SUPPORT, "support_stop": SUPPORT_STOP, "never": ALMOST_NEVER, "never_stop": ALMOST_NEVER_STOP, "hot": HOT,
+}
+
+#: The lines of each text that isn't null, empty or blank, without a break sign at its end.
+_LINES = """
+SELECT doc_id, source, copy, n_chars, regexp_like(sign, :shown) AS signed,
+  filter(transform(split(regexp_replace(regexp_replace(regexp_replace(left(text, n_chars - length(sign)), '\\r\\n?', '\\n'), :wrapped, ' '), :number, '0'), '\\n'),
+    x -> regexp_replace(trim(regexp_replace(x, :blank, ' ')), :bullet, '• ')), x -> x <> '') AS lines
+FROM (SELECT doc_id, source, text, xxhash64(text) AS copy, length(text) AS n_chars, regexp_extract(reverse(text), :backwards, 0) AS sign FROM {documents} WHERE NOT regexp_like(text, :empty))
+"""
 
+#: The words of a line r and of the same with names masked b, two marks in front of either.
+_WORDS = "concat(array('⏎', '⏎'), split(line, ' ')) AS r, concat(array('⏎', '⏎'), split(regexp_replace(line, :names, 'X'), ' ')) AS b"
 
-#: Occurrences of trigrams and of openings of lines inside lines and at ends of lines, each text's last end left out.
-#: An opening is kept as a trigram whose first word is the mark OPENING.
+#: How often each n-gram goes on and ends inside texts, their last ends left out. level 0: a line of up to :short words as (⏎⏎, all but the last word, last word), 2: trigrams, 3: trigrams with names masked.
 _COUNTS = """
-SELECT g.w1, g.w2, g.w3, sum(IF(g.inside, 1, 0)) AS n_in, sum(IF(g.inside, 0, 1)) AS n_end
-FROM (
-  SELECT whole, explode(concat(
-    transform(sequence(2, size(w) - 1), i -> struct(w[i - 2] AS w1, w[i - 1] AS w2, w[i] AS w3, i < size(w) - 1 AS inside)),
-    transform(sequence(3, least(size(w), 2 + :short)), k -> struct('⏎⏎' AS w1, '' AS w2, array_join(slice(w, 3, k - 2), ' ') AS w3, k < size(w) AS inside)))) AS g
+WITH all_lines AS (SELECT at < size(lines) - 1 AS whole, WORDS FROM (SELECT lines, posexplode(lines) AS (at, line) FROM {lines})),
+grams AS (
+  SELECT whole, level, inline(arrays_zip(k, rest, w1, w2, w3))
   FROM (
-    SELECT at < n - 1 AS whole, concat(array('⏎', '⏎'), split(line, ' ')) AS w
-    FROM (SELECT size(lines) AS n, posexplode(lines) AS (at, line) FROM {lines})))
-WHERE g.inside OR whole
-GROUP BY g.w1, g.w2, g.w3
+    SELECT whole, level, sequence(1, size(w) - 2) AS k, sequence(size(w) - 3, 0, -1) AS rest, slice(w, 1, size(w) - 2) AS w1, slice(w, 2, size(w) - 2) AS w2, slice(w, 3, size(w) - 2) AS w3
+    FROM (SELECT whole, 2 AS level, r AS w FROM all_lines UNION ALL SELECT whole, 3, b FROM all_lines))
+  UNION ALL
+  SELECT whole, 0, k, size(r) - 2 - k, '⏎⏎', array_join(slice(r, 3, k - 1), ' '), r[k + 1] FROM (SELECT whole, r, explode(sequence(1, least(size(r) - 2, :short))) AS k FROM all_lines))
+SELECT level, k > :short AS far, w1, w2, w3, sum(IF(rest > 0, 1, 0)) AS n_in, sum(IF(rest > 0, 0, 1)) AS n_end
+FROM grams
+WHERE rest > 0 OR whole
+GROUP BY level, k > :short, w1, w2, w3
+""".replace("WORDS", _WORDS)
+
+#: The last n-gram of each text at the levels 0, 2 and 3; those of the same n-grams share `final`.
+_FINALS = """
+SELECT *, xxhash64(opening, trigram, masked) AS final, trigram.w3 = '' OR regexp_like(trigram.w3, :stop) AS stop
+FROM (
+  SELECT doc_id, source, copy, n_chars, signed,
+    IF(size(r) <= 2 + :short, struct(false AS far, '⏎⏎' AS w1, array_join(slice(r, 3, size(r) - 3), ' ') AS w2, r[size(r) - 1] AS w3), NULL) AS opening,
+    struct(size(r) > 2 + :short AS far, r[size(r) - 3] AS w1, r[size(r) - 2] AS w2, r[size(r) - 1] AS w3) AS trigram,
+    struct(size(b) > 2 + :short AS far, b[size(b) - 3] AS w1, b[size(b) - 2] AS w2, b[size(b) - 1] AS w3) AS masked
+  FROM (SELECT *, WORDS FROM (SELECT *, lines[size(lines) - 1] AS line FROM {lines} WHERE size(lines) > 0)))
+""".replace("WORDS", _WORDS)
+
+#: The n-grams of both, the ends of copies counted once; asked: a text ends so.
+_EVERY = """
+WITH ends AS (
+  SELECT level, x.*, 0 AS n_in, count(*) AS n_end, 1 AS asked
+  FROM (SELECT inline(array(struct(0 AS level, opening AS x), struct(2 AS level, trigram AS x), struct(3 AS level, masked AS x))) FROM (SELECT DISTINCT copy, opening, trigram, masked FROM {finals}))
+  WHERE x IS NOT NULL GROUP BY level, x)
+SELECT level, far, w1, w2, w3, sum(n_in) AS n_in, sum(n_end) AS n_end, max(asked) AS asked
+FROM (SELECT *, 0 AS asked FROM {counts} UNION ALL SELECT level, far, w1, w2, w3, n_in, n_end, asked FROM ends)
+GROUP BY level, far, w1, w2, w3
 """
 
-_FINALS = """
-SELECT doc_id, source, copy, n_chars, signed, w[size(w) - 3] AS w1, w[size(w) - 2] AS w2, w[size(w) - 1] AS w3, IF(size(w) <= 2 + :short, array_join(slice(w, 3, :short), ' '), '') AS opening
-FROM (SELECT *, concat(array('⏎', '⏎'), split(lines[size(lines) - 1], ' ')) AS w FROM {lines} WHERE size(lines) > 0)
+#: All levels. 1: lines up to :short words with names masked, counted in different lines, so that one frequent line vouches for no other; 4: last two words, 5: last word of level 3.
+_LEVELS = """
+SELECT level, far, w1, w2, w3, n_in, n_end, asked FROM {every}
+UNION ALL
+SELECT 1, false, '⏎⏎', left(m, length(m) - length(substring_index(m, ' ', -1))), substring_index(m, ' ', -1), sum(IF(n_in > 0, 1, 0)), sum(IF(n_end > 0, 1, 0)), max(asked)
+FROM (SELECT regexp_replace(trim(concat_ws(' ', w2, w3)), :names, 'X') AS m, n_in, n_end, asked FROM {every} WHERE level = 0) GROUP BY m
+UNION ALL
+SELECT 4, far, '', w2, w3, sum(n_in), sum(n_end), max(asked) FROM {every} WHERE level = 3 GROUP BY far, w2, w3
+UNION ALL
+SELECT 5, far, '', '', w3, sum(n_in), sum(n_end), max(asked) FROM {every} WHERE level = 3 GROUP BY far, w3
 """
 
-#: Every trigram and opening with its counts and masks; asked: it is the end of a text. n_short leaves out the ends of
-#: texts whose last line is long: without a full stop such an end is no evidence that a line may end so.
-_EVERY = """
-WITH ends AS (
-  SELECT w1, w2, w3, count(DISTINCT copy) AS n_text, count(DISTINCT IF(short, copy, NULL)) AS n_short
-  FROM (SELECT copy, w1, w2, w3, opening <> '' AS short FROM {finals} UNION ALL SELECT copy, '⏎⏎', '', opening, true FROM {finals} WHERE opening <> '')
-  GROUP BY w1, w2, w3)
+#: n_longer: how often an asked n-gram's last word is the beginning of a longer one in the same place that goes on, or inside whose letters it ends. Only beginnings as long as one that is asked for there are made.
+_STATS = """
+WITH lengths AS (SELECT level, far, w1, w2, collect_set(length(w3)) AS ks FROM {levels} WHERE asked = 1 GROUP BY level, far, w1, w2),
+longer AS (
+  SELECT level, far, w1, w2, left(w3, k) AS w3, sum(n_in + IF(substr(w3, k, 2) RLIKE :inner, n_end, 0)) AS n
+  FROM (SELECT level, far, w1, w2, w3, n_in, n_end, explode(filter(ks, k -> k < length(w3))) AS k FROM {levels} JOIN lengths USING (level, far, w1, w2))
+  GROUP BY level, far, w1, w2, left(w3, k))
+SELECT xxhash64(level, far, w1, w2, w3) AS h, level, max(n_in) AS n_in, max(n_end) AS n_end, max(n) AS n_longer
+FROM (
+  SELECT level, far, w1, w2, w3, n_in, n_end, 0 AS n FROM {levels} WHERE asked = 1
+  UNION ALL SELECT level, far, w1, w2, w3, 0, 0, n FROM longer)
+GROUP BY level, far, w1, w2, w3
+HAVING max(n_end) > 0
+"""
 
-  SELECT w1, w2, w3, regexp_replace(w1, :mask, 'X') AS m1, regexp_replace(w2, :mask, 'X') AS m2, regexp_replace(regexp_replace(w3, :mask, 'X'), 'X(?: X)+', 'X') AS m3, n_in, n_end, n_short, asked
-  FROM (
-    SELECT w1, w2, w3, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_short) AS n_short, max(asked) AS asked
-    FROM (SELECT w1, w2, w3, n_in, n_end, n_end AS n_short, 0 AS asked FROM {counts} UNION ALL SELECT w1, w2, w3, 0, n_text, n_short, 1 FROM ends)
-    GROUP BY w1, w2, w3)
+#: Each different final with the counts of all its levels, and the verdict by the first level that has support, or else by the last; open: none has.
+_DECIDED = """
+WITH kinds AS (
+  SELECT final, first(opening) AS opening, first(trigram) AS trigram, first(masked) AS masked, first(stop) AS stop, count(*) AS n FROM {finals} GROUP BY final),
+asked AS (
+  SELECT final, stop, n, explode(filter(array(
+    IF(opening IS NULL, NULL, xxhash64(0, opening.far, opening.w1, opening.w2, opening.w3)),
+    IF(opening IS NULL, NULL, xxhash64(1, false, '⏎⏎', left(m, length(m) - length(substring_index(m, ' ', -1))), substring_index(m, ' ', -1))),
+    xxhash64(2, trigram.far, trigram.w1, trigram.w2, trigram.w3), xxhash64(3, masked.far, masked.w1, masked.w2, masked.w3),
+    xxhash64(4, masked.far, '', masked.w2, masked.w3), xxhash64(5, masked.far, '', '', masked.w3)), x -> x IS NOT NULL)) AS h
+  FROM (SELECT *, regexp_replace(trim(concat_ws(' ', opening.w2, opening.w3)), :names, 'X') AS m FROM kinds)),
+told AS (
+  SELECT final, first(stop) AS stop, first(n) AS n, array_sort(collect_list(struct(s.level, s.n_in + s.n_longer AS n_in, s.n_end))) AS levels
+  FROM asked JOIN {stats} s USING (h) GROUP BY final),
+-- without the text's own end; of the lines counted at level 1 it is one only if no other text ends with it
+others AS (SELECT final, stop, n, transform(levels, x -> struct(x.level, x.n_in, x.n_end - IF(x.level = 1 AND levels[0].n_end > 1, 0, 1) AS n_end)) AS levels FROM told),
+best AS (SELECT *, coalesce(try_element_at(filter(levels, x -> x.n_in + x.n_end >= IF(stop, :support_stop, :support) AND NOT (stop AND x.level = 0)), 1), element_at(levels, -1)) AS s FROM others)
+SELECT final, n, s.level, s.n_in, s.n_end, s.n_in + s.n_end < IF(stop, :support_stop, :support) AS open,
+  IF(stop, s.n_in + s.n_end >= :support_stop AND s.n_end < :never_stop * (s.n_in + s.n_end), s.n_end < :never * (s.n_in + s.n_end)) AS truncated
+FROM best
 """
 
 _JUDGED = """
-WITH -- a masked opening ends as often as it has different forms that do: one frequent line vouches for no other
-masked AS (SELECT m1, m2, m3, sum(n_in) AS n_in, sum(IF(w1 = '⏎⏎', least(n_end, 1), n_end)) AS n_end, sum(n_short) AS n_short FROM {every} GROUP BY m1, m2, m3 HAVING max(asked) = 1),
-pairs AS (SELECT m2, m3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} WHERE w1 <> '⏎⏎' GROUP BY m2, m3 HAVING max(asked) = 1),
-words AS (SELECT w3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM {every} WHERE w1 <> '⏎⏎' GROUP BY w3 HAVING max(asked) = 1),
--- longer words in the same place: of those, a final piece of a word is a part
-longer AS (
-  SELECT w1, w2, w3, sum(n) AS n_longer
-  FROM (
-    SELECT w1, w2, n_in + n_end AS n, explode(transform(filter(sequence(1, length(w3) - 1), k -> substr(w3, k, 2) RLIKE :inner), k -> left(w3, k))) AS w3
-    FROM (SELECT * FROM {every} LEFT SEMI JOIN (SELECT w1, w2 FROM {every} WHERE asked = 1 AND w1 <> '⏎⏎' AND NOT w3 RLIKE :stop) USING (w1, w2)) WHERE length(w3) BETWEEN 2 AND :longest)
-  GROUP BY w1, w2, w3),
-lines AS (
-  SELECT e.w3 AS opening, try_element_at(filter(array(
-    struct(e.n_in, e.n_end - 1 AS n_end, IF(e.n_in + e.n_end > :support, :line, :whole) AS least), struct(m.n_in, m.n_end - 1 AS n_end, :whole AS least)), x -> x.n_in + x.n_end >= :few), 1) AS o
-  FROM {every} e JOIN masked m USING (m1, m2, m3) WHERE e.asked = 1 AND e.w1 = '⏎⏎'),
-joined AS (
-  SELECT e.w1, e.w2, e.w3, (e.w3 = '<C>' OR e.w3 RLIKE :stop) AS stop, coalesce(l.n_longer, 0) AS n_longer,
-    array(struct(e.n_in, e.n_end - 1 AS n_end), struct(m.n_in, m.n_end - 1 AS n_end), struct(p.n_in, p.n_end - 1 AS n_end), struct(v.n_in, v.n_end - 1 AS n_end)) AS levels,
-    array(struct(e.n_in, e.n_short AS n_end), struct(m.n_in, m.n_short AS n_end)) AS lined
-  FROM {every} e JOIN masked m USING (m1, m2, m3) JOIN pairs p USING (m2, m3) JOIN words v ON v.w3 = e.w3 LEFT JOIN longer l ON l.w1 = e.w1 AND l.w2 = e.w2 AND l.w3 = e.w3
-  WHERE e.asked = 1 AND e.w1 <> '⏎⏎'),
-best AS (
-  SELECT *, coalesce(try_element_at(filter(levels, x -> x.n_in + x.n_end >= :trusted), 1), levels[0]) AS s,
-    try_element_at(filter(lined, x -> x.n_in + x.n_end > :support), 1) AS b
-  FROM joined)
-SELECT f.*, IF(stop, s.n_in, coalesce(o.n_in, b.n_in)) AS n_in, IF(stop, s.n_end, coalesce(o.n_end, b.n_end)) AS n_end, n_longer,
-  CASE WHEN (signed OR w3 RLIKE :formed) AND NOT stop THEN true
-       WHEN signed THEN s.n_in + s.n_end >= :support AND s.n_end < :doubtful * (s.n_in + s.n_end)
-       WHEN NOT stop AND o IS NOT NULL THEN o.n_end < o.least * (o.n_in + o.n_end) OR (n_longer >= :support AND o.n_end < n_longer AND levels[0].n_in < n_longer)
-       WHEN NOT stop THEN b IS NULL OR b.n_end - IF(f.opening = '', 0, 1) < :whole * (b.n_in + b.n_end) OR (n_longer >= :support AND b.n_end < n_longer)
-       WHEN w3 = '0.' THEN levels[0].n_in + levels[0].n_end >= :support AND levels[0].n_end < :doubtful * (levels[0].n_in + levels[0].n_end)
-       ELSE s.n_in + s.n_end >= :trusted AND s.n_end < :never * (s.n_in + s.n_end) END AS truncated
-FROM {finals} f JOIN best USING (w1, w2, w3) LEFT JOIN lines USING (opening)
+WITH hot AS (SELECT * FROM {decided} WHERE n * :hot >= (SELECT count(*) FROM {finals}))
+SELECT /*+ BROADCAST(h) */ f.doc_id, f.source, f.copy, f.n_chars, f.signed, f.stop, f.trigram, h.level, h.n_in, h.n_end, h.truncated OR (h.open AND f.signed AND NOT f.stop) AS truncated FROM {finals} f JOIN hot h USING (final)
+UNION ALL
+SELECT f.doc_id, f.source, f.copy, f.n_chars, f.signed, f.stop, f.trigram, d.level, d.n_in, d.n_end, d.truncated OR (d.open AND f.signed AND NOT f.stop)
+FROM (SELECT /*+ BROADCAST(h) */ f.* FROM {finals} f LEFT ANTI JOIN hot h USING (final)) f JOIN {decided} d USING (final)
 """
 
 
+def _sql(like: DataFrame, query: str, **frames: DataFrame) -> DataFrame:
+    return like.sparkSession.sql(query, args={k: v for k, v in _ARGS.items() if f":{k}" in query}, **frames)
+
+
 def judge(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, copy, n_chars, signed, w1, w2, w3, opening, n_in, n_end, n_longer, truncated) of each text with a word.
+    """(doc_id, source, copy, n_chars, signed, stop, trigram, level, n_in, n_end, truncated) of each text with a word.
 
-    w1 w2 w3 is the final trigram, opening the last line if it is short, n_in and n_end the counts that decided, without the text's own end
-    (null where nothing supports any end). Null, empty and blank texts give no row; copies count as
-    one text where ends are counted, and have a row each. Other columns are ignored.
+    trigram is the final one; n_in and n_end are how often it goes on and ends elsewhere, at the level (0 to 5, see
+    `_COUNTS` and `_LEVELS`) that decided; signed: a break sign stands behind it; stop: it has a full stop.
+    Null, empty and blank texts give no row; copies count as one text where ends are counted, and
+    have a row each. Other columns are ignored.
     """
-    spark = documents.sparkSession
-    lines = cut_lineage(normalised(documents.select("doc_id", "source", "text")))  # read twice; normalising costs more than a copy
-    finals = cut_lineage(spark.sql(_FINALS, args={"short": SHORT}, lines=lines))
-    counts = spark.sql(_COUNTS, args={"short": SHORT}, lines=lines)
-    args = {"stop": SENTENCE_END, "support": SUPPORT, "trusted": SUPPORT_STOP, "never": ALMOST_NEVER, "doubtful": ALMOST_NEVER_DOUBTFUL, "whole": WHOLE, "line": WHOLE_LINE, "few": FEW, "longest": LONGEST_WORD, "formed": FORM_PIECE, "inner": r"^[\p{L}\p{N}]{2}$"}
-    every = cut_lineage(spark.sql(_EVERY, args={"mask": _MASK}, finals=finals, counts=counts))
-    return spark.sql(_JUDGED, args=args, finals=finals, every=every)
+    lines = cut_lineage(_sql(documents, _LINES, documents=documents.select("doc_id", "source", "text")))  # read twice; normalising costs more than a copy
+    finals = cut_lineage(_sql(documents, _FINALS, lines=lines))
+    every = cut_lineage(_sql(documents, _EVERY, counts=_sql(documents, _COUNTS, lines=lines), finals=finals))
+    stats = _sql(documents, _STATS, levels=_sql(documents, _LEVELS, every=every))
+    decided = cut_lineage(_sql(documents, _DECIDED, finals=finals, stats=stats))
+    return _sql(documents, _JUDGED, finals=finals, decided=decided)
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -174,8 +179,10 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 
 def sources(documents: DataFrame) -> DataFrame:
-    """(source, texts, cut, share, cut_at): how often each source cuts and the commonest length of its cut texts."""
-    return judge(documents).groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("cut"),
-        (F.count_if("truncated") / F.count(F.lit(1))).alias("share"), F.mode(F.when(F.col("truncated"), F.col("n_chars")), True).alias("cut_at"),
+    """(source, texts, cut, signed, share, cut_at): how often each source cuts, how many cut texts have a break sign and their commonest length."""
+    return _sql(
+        documents,
+        """SELECT source, count(*) AS texts, count_if(truncated) AS cut, count_if(truncated AND signed) AS signed, count_if(truncated) / count(*) AS share,
+             mode(IF(truncated, n_chars, NULL), true) AS cut_at FROM {judged} GROUP BY source""",
+        judged=judge(documents),
     )

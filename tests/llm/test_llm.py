@@ -132,6 +132,47 @@ def test_cuts_are_found(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_long_headings_are_whole_and_their_cuts_are_not(spark):
+    heading = "Izvještaj o stanju društva i grupe za godinu s bilješkama te mišljenjem revizora i uprave"
+    body = "Društvo je ostvarilo dobit od prodaje robe i usluga u gradu."
+    rows = [(i, "s", f"{body} Redni broj {i} ima {i % 7} stavki.\n{heading}") for i in range(300)]
+    words = heading.split()
+    cut = [(1000 + k, "t", f"{body} Redni broj {k}.\n{' '.join(words[:k])}") for k in range(3, 14)] + [(2000, "t", f"{body}\n{heading[:-4]}"), (2001, "t", f"{body}\n{heading[:50]}")]
+    got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows + cut, DOCS)).collect()}
+    assert got == {r[0] for r in cut}
+
+
+def test_signatures_are_whole_in_a_corpus_of_their_openings(spark):
+    names = [f"{a} {b} d.d." for a in ("Alfa", "Beta", "Gama", "Delta", "Zeta") for b in ("Promet", "Papir", "Hoteli", "Tekstil")]
+    rows = [(i, "s", f"{names[i % 20]} je ostvario dobit od {i} kuna.\n" + (names[(i + 3) % 20] if i % 3 else "Nadzorni odbor")) for i in range(400)]
+    cut = [(1000, "s", f"{names[0]} je ostvario dobit od"), (1001, "s", f"{names[1]} je ost")]
+    assert {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows + cut, DOCS)).collect()} == {1000, 1001}
+
+
+def planted(documents, whole, every=7):
+    """The whole texts of `documents`, one in `every` cut inside a sentence: (frame, ids of the cut ones)."""
+    r = random.Random(5)
+    rows, cut = [], set()
+    for d, source, text in whole:
+        at = r.randrange(40, len(text)) if len(text) > 120 else 0
+        # not where a sentence, line or its full stop ends
+        if r.random() < 1 / every and at and not text[:at].rstrip().endswith((".", "!", "?", ":", '"')) and "\n" not in text[at - 40 : at + 2] and text[at:].strip(" .\n"):
+            text = text[:at] + r.choice(["", "", "…", " [...]"])
+            cut.add(d)
+        rows.append((d, source, text))
+    return documents.sparkSession.createDataFrame(rows, DOCS), cut
+
+
+def test_planted_cuts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text")
+    ends = d.filter(F.rtrim("text").rlike(truncation.SENTENCE_END) & ~F.col("text").rlike(r"[.]{3}|\[cut")).dropDuplicates(["text"])
+    df, cut = planted(d, [tuple(x) for x in ends.orderBy("doc_id").collect()])
+    got = {r.doc_id for r in truncation.truncated(df).collect()}
+    hit = len(got & cut)
+    print(f"planted {len(cut)}, found {len(got)}, both {hit}")
+    assert len(cut) > 500 and hit >= 0.97 * len(cut) and hit >= 0.97 * len(got)
+
+
 def test_very_long_texts(spark):
     long = ["1," * 300_000, "A" * 600_000, ("Tvrtka " * 100_000) + "d.d.", "\n" * 300_000 + "x", " " * 300_000 + "kraj…" + " " * 300_000, "- a\n" * 100_000, "…" * 100_000]
     rows = [(i, "s", t) for i, t in enumerate(long)]
