@@ -1,10 +1,14 @@
 """Companies of two sources without a common key.
 
-Method: a deterministic cascade of rules. Each rule is an exact join on a combination of
-attributes derived from name, country, town and number fragments, each combination weaker than the one
-before; records a rule resolves are anti-joined away before the next. A pair's confidence is the rule's
-precision among labelled pairs, with add-one smoothing: where both sides show digits of
-a registration number, their agreement labels the pairs that the rule's join proposes.
+Method: a deterministic cascade of rules, in passes: records are joined exactly on their name's own letters, then
+on those with one, then with two letters left out, together with the digits of a registration number or with what both
+state of line of business, country, town and legal form. In a pass the rule that asks for most is the
+first; records a round resolves are anti-joined away before the next, and before the next pass.
+A pair's confidence is its rule's precision with add-one smoothing, measured on the pairs the rule would choose if it didn't see
+the digits: where both sides show digits of a registration number, their agreement labels such a pair.
+
+No group is joined pair by pair: records alike in all attributes are a class of which two stand for all, as a third
+adds nothing to the knowledge that a partner isn't the only one; their digits still tell them apart.
 """
 
 from __future__ import annotations
@@ -108,47 +112,60 @@ def local_companies(rows: DataFrame) -> DataFrame:
     return r.groupBy("id").agg(*[F.mode(c, True).alias(c) for c in ("core", "line", "form", "country", "town", "head", "tail")])
 
 
-#: The cascade: name, key columns, deletions from the core (0: the core itself is a key; None: no core). Stronger rules first.
-RULES: tuple[tuple[str, tuple[str, ...], int | None], ...] = (
-    ("core line country", ("line", "country"), 0),
-    ("core line town", ("line", "town"), 0),
-    ("core line", ("line",), 0),
-    ("core~1 line country", ("line", "country"), 1),
-    ("core~1 line town", ("line", "town"), 1),
-    ("core country town", ("country", "town"), 0),
-    ("core country", ("country",), 0),
-    ("core town", ("town",), 0),
-    ("core~1 line", ("line",), 1),
-    ("core", (), 0),
-    ("core~2 line country", ("line", "country"), 2),
-    ("core~2 line town", ("line", "town"), 2),
-    ("core~1 country town", ("country", "town"), 1),
-    ("core~1 country", ("country",), 1),
-    ("core~1 town", ("town",), 1),
-    ("core~2 country town", ("country", "town"), 2),
-)
 ATTRIBUTES = ("line", "country", "town", "form")
-#: Pieces of cores under which more pairs than this would meet are joined on the attributes both sides state too, which only spares pairs that contradict.
-MAX_OPEN = 10_000
-#: Letters of a name's core beyond which typing errors aren't looked for.
-LONGEST_TYPED = 60
+#: The cascade: a pass for each number of letters left out (None: no pass), in each the attributes that both sides must state, stronger rules first. Digits that agree come before them.
+PASSES: tuple[tuple[tuple[str, ...], ...], ...] = (
+    (("line", "country"), ("line", "town"), ("line",), ("country", "town"), ("country",), ("town",), ()),
+    (("line", "country"), ("line", "town"), ("line",), ("country", "town"), ("country",), ("town",)),
+    (("line", "country"), ("line", "town"), ("country", "town")),
+)
+#: Letters up to which the letters left out are all tried; longer cores are cut into segments of which an equal one must remain.
+DELETED_UP_TO = 60
 #: Pairs of a less precise rule aren't taken, nor those of one that is only so precise by its labels.
 LEAST = 0.5
 
 
-def _pieces(core: Column, deletions: int) -> Column:
-    """The core with up to so many letters left out; two cores one or two typing errors apart share a piece.
-
-    Cores of fewer than 5 and of more than LONGEST_TYPED letters are only compared as they are.
-    """
-    if deletions == 0:
-        return F.array(core)
+def _deletions(core: Column, n: int) -> Column:
+    """The core with up to n letters left out. Cores of fewer than 5 letters, or 7 for the second, are only compared as they are."""
 
     def less(c: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
 
-    one = F.array_distinct(F.concat(F.array(core), F.when(F.length(core).between(5, LONGEST_TYPED), less(core)).otherwise(F.array().cast("array<string>"))))
-    return one if deletions == 1 else F.array_distinct(F.concat(one, F.flatten(F.transform(one, lambda x: F.when(F.length(x).between(7, LONGEST_TYPED), less(x)).otherwise(F.array(x))))))
+    if n == 0:
+        return F.array(core)
+    one = F.array_distinct(F.concat(F.array(core), F.when(F.length(core) >= 5, less(core)).otherwise(F.array().cast("array<string>"))))
+    return one if n == 1 else F.array_distinct(F.concat(one, F.flatten(F.transform(one, lambda x: F.when(F.length(x) >= 7, less(x)).otherwise(F.array(x))))))
+
+
+def _segments(core: str, n: int, registry: bool) -> Column:
+    """Hashes of 2n + 1 segments of the core: with n letters left out on either side one of them is whole on both.
+
+    The local side has each segment at every place where it may stand in a registry core of every possible length.
+    """
+    grown, moved = ("array(0)", "array(0)") if registry else (f"sequence({-n}, {n})", f"sequence({-n}, {n})")
+    size = f"(length({core}) + d)"
+    start, end = (f"cast(floor({size} * {i} / {2 * n + 1}) AS int)" for i in ("i", "(i + 1)"))
+    one = f"xxhash64(i, {size}, substring({core}, {start} + m + 1, {end} - {start}))"
+    return F.expr(f"array_distinct(flatten(flatten(transform({grown}, d -> transform(sequence(0, {2 * n}), i -> transform({moved}, m -> {one}))))))")
+
+
+def pieces(name: str, n: int, registry: bool) -> Column:
+    """Hashes of which two cores share one if they are the same but for n letters left out of either; lengths around DELETED_UP_TO have both kinds."""
+    core = F.col(name)
+    short = F.when(F.length(core) <= DELETED_UP_TO, F.transform(_deletions(core, n), lambda x: F.xxhash64(x)))
+    if n == 0:
+        return F.array(F.xxhash64(core))
+    long = F.when(F.length(core) > DELETED_UP_TO - n, _segments(name, n, registry))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.coalesce(short, none), F.coalesce(long, none))
+
+
+def _same_but_for(n: int) -> Column:
+    """Whether two cores differ by so many letters at most; long ones are compared here, as an equal segment proves nothing."""
+    a, b = F.col("g_core"), F.col("l_core")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    near = F.levenshtein(a, b, 2 * n) >= 0
+    return near & ((F.greatest(F.length(a), F.length(b)) <= DELETED_UP_TO) | (F.levenshtein(a, b, n) >= 0) | (letters(a) == letters(b)))
 
 
 def _numbers_agree() -> Column:
@@ -158,85 +175,112 @@ def _numbers_agree() -> Column:
     return F.coalesce(by_head & by_tail, by_head, by_tail)
 
 
-def _open(d: DataFrame, resolved: DataFrame, column: str) -> DataFrame:
-    return d.join(resolved.select(F.col(column).alias("id")), "id", "left_anti")
-
-
-def _compatible(piece: str, keys: tuple[str, ...], registry: bool) -> Column:
-    """A record's keys in a crowded piece: one for each set of attributes a partner may state, of the values both would state.
+def _stated_keys(rules: tuple[tuple[str, ...], ...], registry: bool) -> Column:
+    """A record's keys of a pair of cores: one for each set of attributes a partner may state that satisfies a rule, of the values both would state.
 
     Two records share a key only if they contradict each other in no attribute, and then just one.
     """
-    mask = lambda has: sum((F.when(h, 1 << i).otherwise(0) for i, h in enumerate(has)), F.lit(0))
-    own = mask([F.col(c).isNotNull() for c in ATTRIBUTES])
-    hashes = []
+    own = " + ".join(f"IF({c} IS NULL, 0, {1 << i})" for i, c in enumerate(ATTRIBUTES))
+    keys = []
     for t in range(1 << len(ATTRIBUTES)):
         stated = [c for i, c in enumerate(ATTRIBUTES) if t >> i & 1]
-        if set(keys) <= set(stated):
-            hashes.append(F.xxhash64(piece, *((own, F.lit(t)) if registry else (F.lit(t), own)), *stated))
-    return F.array(*hashes)
+        asked = [" AND ".join(["true", *[f"{c} IS NOT NULL" for c in rule]]) for rule in rules if set(rule) <= set(stated)]
+        if asked:
+            masks = f"{own}, {t}" if registry else f"{t}, {own}"
+            keys.append(f"IF({' OR '.join(f'({x})' for x in asked)}, xxhash64({', '.join([masks, *stated])}), NULL)")
+    return F.expr(f"array_compact(array({', '.join(keys)}))")
 
 
-def _crowded(g: DataFrame, l: DataFrame, deletions: int) -> DataFrame:  # noqa: E741
-    """(piece): the pieces of cores under which more than MAX_OPEN pairs would meet. No rule's key is wider than its piece."""
-    n = lambda d, name: d.filter("core IS NOT NULL").select(F.explode(_pieces(F.col("core"), deletions)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias(name))
-    return n(g, "n").join(n(l, "m"), "piece").filter(F.col("n") * F.col("m") > MAX_OPEN).select("piece")
+def _rule_keys(rules: tuple[tuple[str, ...], ...]) -> Column:
+    """A key for each rule whose attributes the record states."""
+    return F.expr(f"array_compact(array({', '.join(f'IF({' AND '.join(f'{c} IS NOT NULL' for c in rule)}, xxhash64({i}, {', '.join(rule)}), NULL)' for i, rule in enumerate(rules))}))")
 
 
-def _hashed(d: DataFrame, keys: tuple[str, ...], deletions: int, crowd: DataFrame | None, registry: bool) -> DataFrame:
-    """(id, h): a record's id with the 64-bit hash of each of its keys; those of a crowded piece are `_compatible`.
+def _digit_keys(registry: bool, shown: tuple[int, int]) -> Column:
+    """The first and the last of the digits a record shows, as many as every local record that shows some does."""
+    head, tail = ("number", "number") if registry else ("head", "tail")
+    return F.expr(f"array_compact(array(IF(length({head}) >= {shown[0]}, xxhash64('head', left({head}, {shown[0]})), NULL), IF(length({tail}) >= {shown[1]}, xxhash64('tail', right({tail}, {shown[1]})), NULL)))")
 
-    Without deletions a record keeps its attributes.
-    """
-    full = F.col("core").isNotNull()
-    for k in keys:
-        full = full & F.col(k).isNotNull()
-    d = d.filter(full)
-    key = lambda p: F.xxhash64(p, *[F.col(k) for k in keys])
-    if crowd is None:
-        return d.withColumn("h", key(F.col("core"))) if not deletions else d.select("id", F.explode(F.transform(_pieces(F.col("core"), deletions), key)).alias("h"))
-    each = d.withColumn("piece", F.col("core")) if not deletions else d.select("id", *ATTRIBUTES, F.explode(_pieces(F.col("core"), deletions)).alias("piece"))
-    each = each.join(crowd.withColumn("crowded", F.lit(True)), "piece", "left").withColumn("h", F.explode(F.when(F.col("crowded"), _compatible("piece", keys, registry)).otherwise(F.array(key(F.col("piece"))))))
-    return each.select("id", "h") if deletions else each.drop("piece", "crowded")
-
-
-def _proposals(g: DataFrame, l: DataFrame, resolved: DataFrame, keys: tuple[str, ...], deletions: int, crowd: DataFrame | None) -> DataFrame:  # noqa: E741
-    """(lei, entity_id, agree, rank): the open pairs that share the keys and contradict each other in nothing.
-
-    Of pieces only ids and hashes are exploded and shuffled; the attributes join the pairs after.
+
+def _representatives(d: DataFrame, shows: Column) -> DataFrame:
+    """Of the records alike in core, attributes and whether they show digits the two with the least and the greatest hash."""
+    row = F.struct(F.xxhash64("id").alias("h"), "id")
+    two = d.groupBy("core", *ATTRIBUTES, shows.alias("shows")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    return two.select("core", *ATTRIBUTES, F.explode(F.array_distinct(F.array("lo.id", "hi.id"))).alias("id"))
+
+
+def _shows(registry: bool) -> Column:
+    return F.col("number").isNotNull() if registry else F.coalesce("head", "tail").isNotNull()
+
+
+def _core_pairs(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...], ...], shown: tuple[int, int]) -> DataFrame:  # noqa: E741
+    """(g_core, l_core): the cores that are the same but for n letters and that have records which share a rule's attributes or digits."""
+
+    def keyed(d: DataFrame, registry: bool, name: str) -> DataFrame:
+        each = d.select("core", F.explode(F.concat(_rule_keys(rules), F.when(_shows(registry), _digit_keys(registry, shown)).otherwise(F.array().cast("array<bigint>")))).alias("k"))
+        each = each.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core", "k").distinct()  # few bytes that grow a hundredfold: not to be coalesced into one task
+        return each.select(F.col("core").alias(name), "k", F.explode(pieces("core", n, registry)).alias("piece")).select(name, F.xxhash64("piece", "k").alias("h"))
+
+    return keyed(g, True, "g_core").join(keyed(l, False, "l_core"), "h").select("g_core", "l_core").distinct().filter(_same_but_for(n))
+
+
+def _candidates(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...], ...], shown: tuple[int, int]) -> DataFrame:  # noqa: E741
+    """(lei, entity_id, agree, rule, edits, alike) of the pairs that meet and contradict each other in nothing but digits.
+
+    rule is the number of the first rule whose attributes both state, null if there is none. Only ids and hashes are exploded and
+    shuffled; the attributes join the pairs after.
     """
-    a = _hashed(_open(g, resolved, "lei"), keys, deletions, crowd, True)
-    b = _hashed(_open(l, resolved, "entity_id"), keys, deletions, crowd, False)
-    if deletions:
-        pairs = a.select(F.col("id").alias("lei"), "h").join(b.select(F.col("id").alias("entity_id"), "h"), "h").select("lei", "entity_id").distinct()
-        both = pairs.join(g.alias("g"), F.col("g.id") == F.col("lei")).join(l.alias("l"), F.col("l.id") == F.col("entity_id"))
-    else:
-        both = a.alias("g").join(b.alias("l"), F.col("g.h") == F.col("l.h")).withColumns({"lei": F.col("g.id"), "entity_id": F.col("l.id")})
+    g, l = g.filter("core IS NOT NULL"), l.filter("core IS NOT NULL")  # noqa: E741
+    cores = cut_lineage(_core_pairs(g, l, n, rules, shown)) if n else None
+
+    def keyed(d: DataFrame, registry: bool, name: str) -> DataFrame:
+        own, pair = ("g_core" if registry else "l_core"), ("g_core", "l_core") if n else ("core",)
+
+        def met(rows: DataFrame, keys: Column) -> DataFrame:
+            rows = rows.join(cores, F.col("core") == F.col(own)) if n else rows
+            return rows.select("id", *pair, F.explode(keys).alias("k")).select(F.col("id").alias(name), F.xxhash64(*pair, "k").alias("h"))
+
+        return met(_representatives(d, _shows(registry)), _stated_keys(rules, registry)).unionByName(met(d.filter(_shows(registry)), _digit_keys(registry, shown)))
+
+    pairs = keyed(g, True, "lei").join(keyed(l, False, "entity_id"), "h").select("lei", "entity_id").distinct()
+    both = pairs.join(g.alias("g"), F.col("g.id") == F.col("lei")).join(l.alias("l"), F.col("l.id") == F.col("entity_id"))
     for k in ATTRIBUTES:
         both = both.filter(F.coalesce(F.col(f"g.{k}") == F.col(f"l.{k}"), F.lit(True)))
-    alike = sum((F.coalesce((F.col(f"g.{k}") == F.col(f"l.{k}")).cast("int"), F.lit(0)) for k in ATTRIBUTES), F.lit(0))
-    agree = _numbers_agree()
-    edits = F.when(F.col("g.core") == F.col("l.core"), 0).otherwise(F.levenshtein(F.left("g.core", F.lit(LONGEST_TYPED)), F.left("l.core", F.lit(LONGEST_TYPED))))
-    rank = F.struct(F.coalesce(agree.cast("int"), F.lit(0)).alias("a"), (-edits).alias("e"), alike.alias("s"))
-    return both.select("lei", "entity_id", agree.alias("agree"), rank.alias("rank"))
+    equal = {k: F.coalesce(F.col(f"g.{k}") == F.col(f"l.{k}"), F.lit(False)).cast("int") for k in ATTRIBUTES}
+    rule = F.coalesce(*[F.when(sum((equal[k] for k in keys), F.lit(0)) == len(keys), F.lit(i)) for i, keys in enumerate(rules, start=1)])
+    edits = F.when(F.col("g.core") == F.col("l.core"), 0).otherwise(F.levenshtein(F.col("g.core"), F.col("l.core"), 2 * n))
+    return both.select("lei", "entity_id", _numbers_agree().alias("agree"), rule.alias("rule"), edits.alias("edits"), sum(equal.values(), F.lit(0)).alias("alike"))
 
 
-def _mutual(p: DataFrame) -> DataFrame:
-    """The pairs that are each other's only best: numbers agreeing, then fewest edits, then most attributes alike.
+def _mutual(p: DataFrame, rank: Column) -> DataFrame:
+    """(lei, entity_id, rule, agree) of the pairs that are each other's only best by `rank`.
 
     Of the best partners the one with the greatest and the one with the least hash are kept; only if that is one
     partner is it the only best.
     """
+    p = p.withColumn("rank", rank)
 
     def best(key: str, other: str) -> DataFrame:
         h = F.xxhash64(other)
-        top = p.groupBy(key).agg(F.max(F.struct("rank", h.alias("h"), other)).alias("hi"), F.max(F.struct("rank", F.bitwise_not(h).alias("h"), other)).alias("lo"))
-        return top.filter(F.col(f"hi.{other}") == F.col(f"lo.{other}")).select(key, F.col(f"hi.{other}").alias(other))
+        top = p.groupBy(key).agg(F.max(F.struct("rank", h.alias("h"), other, "rule", "agree")).alias("hi"), F.max(F.struct("rank", F.bitwise_not(h).alias("h"), other)).alias("lo"))
+        return top.filter(F.col(f"hi.{other}") == F.col(f"lo.{other}")).select(key, F.col(f"hi.{other}").alias(other), *[F.col(f"hi.{c}").alias(c) for c in (("rule", "agree") if key == "lei" else ())])
 
     return best("lei", "entity_id").join(best("entity_id", "lei"), ["lei", "entity_id"])
 
 
-def match(candidates: DataFrame, reviews: DataFrame, rules: tuple = RULES, least: float = LEAST) -> DataFrame:
+def _precisions(p: DataFrame, least: float) -> dict[int, float]:
+    """rule -> precision of the pairs it would choose without digits, if that is enough; 0 stands for the digits themselves.
+
+    Digits that agree are as sure as the attributes of such pairs say: a pair that nothing else supports counts against them.
+    """
+    blind = _mutual(p.filter("rule IS NOT NULL"), F.struct((-F.col("rule")).alias("r"), (-F.col("edits")).alias("e"), "alike"))
+    told = blind.groupBy("rule").agg(F.count_if(F.col("agree")).alias("yes"), F.count_if(~F.col("agree")).alias("no"))
+    said = {r.rule: (r.yes, r.no) for r in told.unionByName(p.filter("agree").select(F.lit(0).alias("rule"), "alike").groupBy("rule").agg(F.count_if(F.col("alike") > 0).alias("yes"), F.count_if(F.col("alike") == 0).alias("no"))).collect()}
+    precision = {k: (yes + 1) / (yes + no + 2) for k, (yes, no) in sorted(said.items())}
+    return {k: v for k, v in precision.items() if v > least or (v == least and not said[k][1])}
+
+
+def match(candidates: DataFrame, reviews: DataFrame, passes: tuple = PASSES, least: float = LEAST) -> DataFrame:
     """(lei, entity_id, rule, confidence): each registry record and local company that are the same, at most one pair for either.
 
     `candidates` and `reviews` are tables like gleif_candidates and gleif_review_rows. Several rows of an
@@ -245,19 +289,24 @@ def match(candidates: DataFrame, reviews: DataFrame, rules: tuple = RULES, least
     records equally alike to a third are left open. An empty table gives no pairs.
     """
     g, l = cut_lineage(registry_companies(candidates)), cut_lineage(local_companies(reviews))  # noqa: E741
+    shown = tuple(n or 0 for n in l.agg(F.min(F.length("head")), F.min(F.length("tail"))).first())
     spark = candidates.sparkSession
-    resolved = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("lei", "string"), ("entity_id", "string"), ("rule", "string"), ("confidence", "double"))])
-    crowds: dict[int, DataFrame | None] = {}
-    for name, keys, deletions in rules:
-        if deletions not in crowds:
-            # of the records still open; fewer are open later, so no other piece gets crowded
-            crowd = cut_lineage(_crowded(_open(g, resolved, "lei"), _open(l, resolved, "entity_id"), deletions))
-            crowds[deletions] = None if crowd.isEmpty() else crowd
-        proposed = cut_lineage(_proposals(g, l, resolved, keys, deletions, crowds[deletions]))
-        said = proposed.groupBy().agg(F.count_if(F.col("agree")).alias("yes"), F.count_if(~F.col("agree")).alias("no"), F.count(F.lit(1)).alias("n")).first()
-        precision = (said.yes + 1) / (said.yes + said.no + 2)
-        if not said.n or precision < least or (precision == least and said.no):
+    resolved = spark.createDataFrame([], "lei string, entity_id string, rule string, confidence double")
+    left = lambda d, key, by: d.join(resolved.select(F.col(by).alias(key)), key, "left_anti")
+    for n, rules in enumerate(passes):
+        if not rules:
             continue
-        taken = _mutual(proposed.filter("agree IS NULL OR agree")).select("lei", "entity_id", F.lit(name).alias("rule"), F.lit(float(precision)).alias("confidence"))
-        resolved = cut_lineage(resolved.unionByName(taken).coalesce(4))
+        p = cut_lineage(_candidates(left(g, "id", "lei"), left(l, "id", "entity_id"), n, rules, shown))
+        sure = _precisions(p, least)
+        names = ["digits", *[" ".join(keys) for keys in rules]]
+        by = F.when(F.col("agree"), 0).otherwise(F.col("rule"))
+        taken = p.filter("agree IS NULL OR agree").withColumn("rule", by).filter(F.col("rule").isin(list(sure)))
+        told = F.create_map(*[F.lit(x) for k, v in sure.items() for x in (k, F.struct(F.lit(" ".join(filter(None, [f"core~{n}" if n else "core", names[k]]))).alias("rule"), F.lit(v).alias("confidence")))]) if sure else None
+        for _ in range(len(rules) + 1 if sure else 0):
+            rest = left(left(taken, "lei", "lei"), "entity_id", "entity_id")
+            rank = F.struct((-F.col("rule")).alias("r"), (-F.col("edits")).alias("e"), "alike")
+            new = cut_lineage(_mutual(rest, rank).select("lei", "entity_id", told[F.col("rule")].alias("x")).select("lei", "entity_id", "x.rule", "x.confidence"))
+            if new.isEmpty():
+                break
+            resolved = resolved.unionByName(new)
     return resolved
