@@ -3,7 +3,7 @@
 Method: a deterministic cascade of rules, in passes: records are joined exactly on their name's own letters, then
 on those with one, then with two letters left out, together with the digits of a registration number or with what both
 state of line of business, country, town and legal form. In a pass the rule that asks for most is the
-first; records a round resolves are anti-joined away before the next, and before the next pass.
+first; records a pass resolves are anti-joined away before the next, which also asks for equal names again.
 A pair's confidence is its rule's precision with add-one smoothing, measured on the pairs the rule would choose if it didn't see
 the digits: where both sides show digits of a registration number, their agreement labels such a pair.
 
@@ -291,7 +291,7 @@ def match(candidates: DataFrame, reviews: DataFrame, passes: tuple = PASSES, lea
     g, l = cut_lineage(registry_companies(candidates)), cut_lineage(local_companies(reviews))  # noqa: E741
     shown = tuple(n or 0 for n in l.agg(F.min(F.length("head")), F.min(F.length("tail"))).first())
     spark = candidates.sparkSession
-    resolved = spark.createDataFrame([], "lei string, entity_id string, rule string, confidence double")
+    resolved = spark.sql("SELECT '' AS lei, '' AS entity_id, '' AS rule, 0D AS confidence WHERE false")
     left = lambda d, key, by: d.join(resolved.select(F.col(by).alias(key)), key, "left_anti")
     for n, rules in enumerate(passes):
         if not rules:
@@ -302,11 +302,8 @@ def match(candidates: DataFrame, reviews: DataFrame, passes: tuple = PASSES, lea
         by = F.when(F.col("agree"), 0).otherwise(F.col("rule"))
         taken = p.filter("agree IS NULL OR agree").withColumn("rule", by).filter(F.col("rule").isin(list(sure)))
         told = F.create_map(*[F.lit(x) for k, v in sure.items() for x in (k, F.struct(F.lit(" ".join(filter(None, [f"core~{n}" if n else "core", names[k]]))).alias("rule"), F.lit(v).alias("confidence")))]) if sure else None
-        for _ in range(len(rules) + 1 if sure else 0):
-            rest = left(left(taken, "lei", "lei"), "entity_id", "entity_id")
+        if sure:
             rank = F.struct((-F.col("rule")).alias("r"), (-F.col("edits")).alias("e"), "alike")
-            new = cut_lineage(_mutual(rest, rank).select("lei", "entity_id", told[F.col("rule")].alias("x")).select("lei", "entity_id", "x.rule", "x.confidence"))
-            if new.isEmpty():
-                break
-            resolved = resolved.unionByName(new)
+            new = _mutual(taken, rank).select("lei", "entity_id", told[F.col("rule")].alias("x")).select("lei", "entity_id", "x.rule", "x.confidence")
+            resolved = cut_lineage(resolved.unionByName(new))
     return resolved
