@@ -202,22 +202,21 @@ def _digit_keys(registry: bool, shown: tuple[int, int]) -> Column:
     return F.expr(f"array_compact(array(IF(length({head}) >= {shown[0]}, xxhash64('head', left({head}, {shown[0]})), NULL), IF(length({tail}) >= {shown[1]}, xxhash64('tail', right({tail}, {shown[1]})), NULL)))")
 
 
-def _representatives(d: DataFrame, shows: Column) -> DataFrame:
-    """Of the records alike in core, attributes and whether they show digits the two with the least and the greatest hash."""
+def _open_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The records no pair holds yet, with `rep`: of those alike in core, attributes and whether they show digits, it is the one with the least or the greatest hash."""
+    done = resolved.select(F.explode(F.array(F.struct(F.lit(True).alias("registry"), F.col("lei").alias("id")), F.struct(F.lit(False).alias("registry"), F.col("entity_id").alias("id")))).alias("x")).select("x.*")
+    left = records.join(done, ["registry", "id"], "left_anti")
     row = F.struct(F.xxhash64("id").alias("h"), "id")
-    two = d.groupBy("core", *ATTRIBUTES, shows.alias("shows")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    return two.select("core", *ATTRIBUTES, F.explode(F.array_distinct(F.array("lo.id", "hi.id"))).alias("id"))
-
-
-def _shows(registry: bool) -> Column:
-    return F.col("number").isNotNull() if registry else F.coalesce("head", "tail").isNotNull()
+    two = left.groupBy("registry", "core", *ATTRIBUTES, F.coalesce("number", "head", "tail").isNotNull().alias("shows")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    reps = two.select("registry", F.explode(F.array_distinct(F.array("lo.id", "hi.id"))).alias("id"), F.lit(True).alias("rep"))
+    return cut_lineage(left.join(reps, ["registry", "id"], "left"))
 
 
 def _core_pairs(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...], ...], shown: tuple[int, int]) -> DataFrame:  # noqa: E741
     """(g_core, l_core): the cores that are the same but for n letters and that have records which share a rule's attributes or digits."""
 
     def keyed(d: DataFrame, registry: bool, name: str) -> DataFrame:
-        each = d.select("core", F.explode(F.concat(_rule_keys(rules), F.when(_shows(registry), _digit_keys(registry, shown)).otherwise(F.array().cast("array<bigint>")))).alias("k"))
+        each = d.select("core", F.explode(F.concat(_rule_keys(rules), _digit_keys(registry, shown))).alias("k"))
         each = each.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core", "k").distinct()  # few bytes that grow a hundredfold: not to be coalesced into one task
         return each.select(F.col("core").alias(name), "k", F.explode(pieces("core", n, registry)).alias("piece")).select(name, F.xxhash64("piece", "k").alias("h"))
 
@@ -230,17 +229,13 @@ def _candidates(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...]
     rule is the number of the first rule whose attributes both state, null if there is none. Only ids and hashes are exploded and
     shuffled; the attributes join the pairs after.
     """
-    g, l = g.filter("core IS NOT NULL"), l.filter("core IS NOT NULL")  # noqa: E741
     cores = cut_lineage(_core_pairs(g, l, n, rules, shown)) if n else None
 
     def keyed(d: DataFrame, registry: bool, name: str) -> DataFrame:
         own, pair = ("g_core" if registry else "l_core"), ("g_core", "l_core") if n else ("core",)
-
-        def met(rows: DataFrame, keys: Column) -> DataFrame:
-            rows = rows.join(cores, F.col("core") == F.col(own)) if n else rows
-            return rows.select("id", *pair, F.explode(keys).alias("k")).select(F.col("id").alias(name), F.xxhash64(*pair, "k").alias("h"))
-
-        return met(_representatives(d, _shows(registry)), _stated_keys(rules, registry)).unionByName(met(d.filter(_shows(registry)), _digit_keys(registry, shown)))
+        rows = d.join(cores, F.col("core") == F.col(own)) if n else d
+        keys = F.concat(F.when(F.col("rep"), _stated_keys(rules, registry)).otherwise(F.array().cast("array<bigint>")), _digit_keys(registry, shown))
+        return rows.select("id", *pair, F.explode(keys).alias("k")).select(F.col("id").alias(name), F.xxhash64(*pair, "k").alias("h"))
 
     pairs = keyed(g, True, "lei").join(keyed(l, False, "entity_id"), "h").select("lei", "entity_id").distinct()
     both = pairs.join(g.alias("g"), F.col("g.id") == F.col("lei")).join(l.alias("l"), F.col("l.id") == F.col("entity_id"))
@@ -288,15 +283,15 @@ def match(candidates: DataFrame, reviews: DataFrame, passes: tuple = PASSES, lea
     blanks say nothing: they never agree and never contradict; a record without a name's core has no pair. Two
     records equally alike to a third are left open. An empty table gives no pairs.
     """
-    g, l = cut_lineage(registry_companies(candidates)), cut_lineage(local_companies(reviews))  # noqa: E741
-    shown = tuple(n or 0 for n in l.agg(F.min(F.length("head")), F.min(F.length("tail"))).first())
-    spark = candidates.sparkSession
-    resolved = spark.sql("SELECT '' AS lei, '' AS entity_id, '' AS rule, 0D AS confidence WHERE false")
-    left = lambda d, key, by: d.join(resolved.select(F.col(by).alias(key)), key, "left_anti")
+    g, l = registry_companies(candidates).withColumn("registry", F.lit(True)), local_companies(reviews).withColumn("registry", F.lit(False))  # noqa: E741
+    records = cut_lineage(g.unionByName(l, allowMissingColumns=True).filter("core IS NOT NULL"))
+    shown = tuple(n or 0 for n in records.agg(F.min(F.length("head")), F.min(F.length("tail"))).first())
+    resolved = candidates.sparkSession.sql("SELECT '' AS lei, '' AS entity_id, '' AS rule, 0D AS confidence WHERE false")
     for n, rules in enumerate(passes):
         if not rules:
             continue
-        p = cut_lineage(_candidates(left(g, "id", "lei"), left(l, "id", "entity_id"), n, rules, shown))
+        rest = _open_records(records, resolved)
+        p = cut_lineage(_candidates(rest.filter("registry"), rest.filter("NOT registry"), n, rules, shown))
         sure = _precisions(p, least)
         names = ["digits", *[" ".join(keys) for keys in rules]]
         by = F.when(F.col("agree"), 0).otherwise(F.col("rule"))
