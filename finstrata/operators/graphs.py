@@ -21,24 +21,33 @@ def mapping_shape(edges: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def translations(edges: DataFrame, starts: DataFrame, target: str, max_hops: int = 4) -> DataFrame:
-    """(start, path, hops): all shortest simple paths from each start node to any node of the target system.
+    """(start, path, hops): all shortest paths from each start node to any node of the target system.
 
-    edges (src, dst) join nodes written `system:code` and count in both directions; starts (start). A path visits no
-    node twice and isn't continued past a target node; a start in the target system itself doesn't count. Starts
-    without a path within max_hops have a row with nulls. Each hop is one equi-join of the open paths with
-    the edges, and starts that have arrived leave the search.
+    edges (src, dst) join nodes written `system:code` and count in both directions; starts (start). A path isn't continued past a target
+    node; a start in the target system itself goes on to another node of it. Starts without a path within max_hops have a row with nulls.
+    Nodes are first labelled with their distance to the target, one search for all starts; a path then only
+    takes edges that lower the distance, so no detour is ever open and a shortest path visits no node twice.
     """
-    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    e = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
+    there = lambda c: F.col(c).startswith(f"{target}:")
+    level = e.filter(there("dst")).select(F.col("dst").alias("node")).distinct().withColumn("away", F.lit(0))
+    labels = level
+    for d in range(1, max_hops):
+        step = e.join(level.select(F.col("node").alias("dst")), "dst").filter(~there("src")).select(F.col("src").alias("node")).distinct()
+        level = cut_lineage(step.join(labels, "node", "left_anti").withColumn("away", F.lit(d)))
+        labels = labels.unionByName(level)
+    labels = cut_lineage(labels)
     s = starts.select("start").distinct()
-    open_ = s.select("start", F.array("start").alias("path"))
-    done = None
-    for hop in range(1, max_hops + 1):
-        step = open_.withColumn("src", F.element_at("path", -1)).join(e, "src").filter(~F.array_contains("path", F.col("dst"))).select("start", F.concat("path", F.array("dst")).alias("path"), F.col("dst").startswith(f"{target}:").alias("there"))
-        step = cut_lineage(step)
-        found = step.filter("there").select("start", "path", F.lit(hop).alias("hops"))
-        done = found if done is None else done.unionByName(found)
-        open_ = step.filter("NOT there").join(found.select("start").distinct(), "start", "left_anti").select("start", "path")
-    return s.join(done, "start", "left")
+    onward = e.join(labels.withColumnRenamed("node", "dst"), "dst")
+    # a start's first step leads to its nearest neighbours
+    first = s.join(onward, F.col("start") == F.col("src")).select("start", "dst", "away")
+    near = first.groupBy("start").agg(F.min("away").alias("least"))
+    open_ = first.join(near, "start").filter("away = least").select("start", F.array("start", "dst").alias("path"), "away", (F.col("least") + 1).alias("hops"))
+    for d in range(max_hops - 1, 0, -1):
+        step = onward.filter(F.col("away") == d - 1).select(F.col("src").alias("at"), "dst", F.col("away").alias("next"))
+        moving = open_.filter(F.col("away") == d).withColumn("at", F.element_at("path", -1)).join(step, "at")
+        open_ = open_.filter(F.col("away") != d).unionByName(moving.select("start", F.concat("path", F.array("dst")).alias("path"), F.col("next").alias("away"), "hops"))
+    return s.join(open_.select("start", "path", "hops"), "start", "left")
 
 
 def closure(edges: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -60,17 +69,20 @@ def closure(edges: DataFrame, max_depth: int = 20) -> DataFrame:
 
 
 def fill_parents(df: DataFrame, scope: Sequence[str], order: str, level: str, code: str) -> DataFrame:
-    """Adds parent: the last code one level up before the row in its scope's order; null at level 1.
+    """Adds parent: the last code one level up before the row in its scope's order; null at level 1 and for rows without a level.
 
-    A scope is one classification as published, some thousand rows in file order. The last code of a level counts even
-    if a shallower row has come since, as its own deeper rows follow it.
+    A scope is one classification as published, some thousand rows in file order. A shallower row ends all deeper levels before it. The
+    query fails on a row with a level above 1 that has no parent, or from level 3 on one whose code doesn't begin with its parent's.
     """
     w = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parents = [F.last(F.when(F.col(level) == k, F.col(code)), ignorenulls=True).over(w) for k in range(1, 6)]
-    pick = None
-    for k, p in enumerate(parents, start=2):
-        pick = F.when(F.col(level) == k, p) if pick is None else pick.when(F.col(level) == k, p)
-    return df.withColumn("parent", pick)
+    parent = F.lit(None).cast("string")
+    for k in range(2, 7):
+        # the last row of at most that level: one further up says that the level has no code yet
+        above = F.last(F.when(F.col(level) < k, F.struct(F.col(level).alias("l"), F.col(code).alias("c"))), ignorenulls=True).over(w)
+        parent = F.when((F.col(level) == k) & (above.l == k - 1), above.c).otherwise(parent)
+    right = F.col("parent").isNotNull() & ((F.col(level) == 2) | F.startswith(code, "parent"))
+    out = df.withColumn("parent", parent)
+    return out.withColumn("parent", F.when((F.col(level) > 1) & ~right, F.raise_error(F.concat(F.lit("no parent that fits for "), F.col(code)))).otherwise(F.col("parent")))
 
 
 #: Shapes of classification codes by level.

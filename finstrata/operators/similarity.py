@@ -6,12 +6,11 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finstrata.functions.exprs import clip, ratio
-from finstrata.functions.text import fold
+from finstrata.functions.exprs import clip, ratio, strip_marks
 from finstrata.session import share_code
 
 # Likeness of two codes that agree in full, in group, in division only.
@@ -62,9 +61,12 @@ def greedy_match(vectors: DataFrame, target: str) -> DataFrame:
 
 
 def business_band(score: Column, exact: Column, group: Column) -> Column:
-    """STRONG, MODERATE, WEAK or NONE; likeness of divisions alone is never above WEAK."""
-    near = exact + group
-    return F.when((exact >= 0.35) & (score >= 0.55), "STRONG").when((near >= 0.20) & (score >= 0.30), "MODERATE").when((near >= 0.08) | (score >= 0.10), "WEAK").otherwise("NONE")
+    """STRONG, MODERATE, WEAK or REJECTED, by the mass of equal codes or by the score; likeness of divisions alone is never above WEAK."""
+    detailed = (exact > 1e-12) | (group > 1e-12)
+    return (
+        F.when(detailed & ((exact >= 0.35) | (score >= 0.55)), "STRONG").when(detailed & ((exact >= 0.20) | (score >= 0.30)), "MODERATE")
+        .when((exact >= 0.08) | (group >= 0.10) | (score >= 0.12), "WEAK").otherwise("REJECTED")
+    )
 
 
 def weighted_mean(parts: Sequence[tuple[Column, float]], least: int = 1) -> Column:
@@ -103,24 +105,35 @@ def size_similarity(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def name_key(c: Column) -> Column:
-    """Lower-case words without accents or punctuation."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
+    """Lower-case words without accents or punctuation. A letter with a stroke has no accent to lose, so it becomes a blank, unlike in `fold`."""
+    t = F.replace(F.replace(F.lower(strip_marks(c)), F.lit("ß"), F.lit("ss")), F.lit("ﬁ"), F.lit("fi"))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
+
+
+def name_similarities(names: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
+    """`names` with the Ratcliff-Obershelp ratio of the keys of columns a and b, which isn't symmetric.
+
+    Equal keys have 1, a name without letters and digits has 0, a null one null. Each different pair of keys is compared once, and only those
+    neither equal nor empty leave the JVM.
+    """
+    x, y = name_key(F.col(a)), name_key(F.col(b))
+    keyed = names.withColumns({"__a": x, "__b": y})
+    pairs = share_code(names).select(x.alias("__a"), y.alias("__b")).filter("__a <> '' AND __b <> '' AND __a <> __b").distinct()
+    told = pairs.withColumn("__s", _ratcliff("__a", "__b"))
+    easy = F.when((F.col("__a") == "") | (F.col("__b") == ""), 0.0).when(F.col("__a") == F.col("__b"), 1.0)
+    return keyed.join(told, ["__a", "__b"], "left").withColumn(name, F.coalesce(easy, F.col("__s"))).drop("__a", "__b", "__s")
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of the two names' keys; it isn't symmetric. Null if either is null."""
-    return _ratcliff(name_key(a), name_key(b))
+    """The same ratio of two columns of a few rows: null if either is null, 0 if one has no letters or digits."""
+    x, y = name_key(a), name_key(b)
+    return F.when((x == "") | (y == ""), 0.0).when(x.isNotNull() & y.isNotNull(), _ratcliff(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
 
 
 def candidate_class(same: Column, similarity: Column, country_conflict: Column) -> Column:
     """EXACT, STRONG_REVIEW from 0.92 on or REVIEW; a country that differs makes it a REVIEW."""
     return F.when(F.coalesce(country_conflict, F.lit(False)), "REVIEW").when(same, "EXACT").when(similarity >= 0.92, "STRONG_REVIEW").otherwise("REVIEW")
-
-
-def first_code(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first code of each activity in scheme, version and code order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

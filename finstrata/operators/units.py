@@ -35,7 +35,6 @@ SHORT_SCALES = {1_000: "k|t", 1_000_000: "m", 1_000_000_000: "b"}
 # Words that may stand in a unit without saying anything.
 FILLER_WORDS = r"in|u|of|iznosi|amounts|amount|expressed|iskazano|izraženo|i"
 
-LONGEST_UNIT = 100
 #: The graph has at most so many units, or the table isn't a table of units.
 MAX_UNITS = 20_000
 
@@ -104,11 +103,11 @@ def _words(alternatives: str) -> str:
 
 
 def _unit_pattern() -> str:
-    """What a text must be, as a whole, to state a unit."""
+    """A piece of a text that states a unit: a separator or a word."""
     cur = "|".join(CURRENCY_WORDS.values())
     short = "|".join(SHORT_SCALES.values())
     word = "|".join([*SCALE_WORDS.values(), cur, FILLER_WORDS])
-    return rf"^(?:[\s.,/()\[\]-]|(?:{short})?(?:{cur})(?:{short})?(?![\p{{L}}\p{{N}}])|(?:{short})(?![\p{{L}}\p{{N}}])|(?:{word})(?![\p{{L}}\p{{N}}]))+$"
+    return rf"[\s.,/()\[\]-]|\G(?:(?:{short})?(?:{cur})(?:{short})?|{short}|{word})(?![\p{{L}}\p{{N}}])"
 
 
 def unit_text(c: Column) -> Column:
@@ -139,12 +138,12 @@ def stated_scale(t: Column) -> Column:
 def label_marker(label: Column) -> Column:
     """The end of a label that may state a unit: a last bracket, or what follows the last comma, colon or dash."""
     tail = F.regexp_extract(label, r"(?:[(\[][^()\[\]]*+[)\]]\s*+|(?:[,;:]|\s[–-]\s)[^,;:()\[\]–-]*+)$", 0)
-    return F.trim(F.regexp_replace(F.lower(tail), r"^[\s,;:–(\[-]+|[\s)\]]+$", ""))
+    return F.trim(F.regexp_replace(F.lower(tail), r"^[\s,;:–(\[-]++|(?<![\s)\]])[\s)\]]++$", ""))
 
 
 def whole_unit(t: Column) -> Column:
-    """`t` where it consists of unit words only, else null; no unit is longer than LONGEST_UNIT characters."""
-    return F.when(F.length(t).between(1, LONGEST_UNIT), F.when(t.rlike(_unit_pattern()), t))
+    """`t` where it consists of unit words only, whatever its length, else null; each piece begins where the one before ended."""
+    return F.when((t != "") & (F.regexp_replace(t, _unit_pattern(), "") == ""), t)
 
 
 def stated_units(facts: DataFrame, reports: DataFrame, value: str = "value") -> DataFrame:
@@ -159,7 +158,7 @@ def stated_units(facts: DataFrame, reports: DataFrame, value: str = "value") ->
         reports.filter("local_path IS NOT NULL")
         .select(
             "local_path",
-            stated_currency(F.left(unit_text(F.col("currency")), F.lit(LONGEST_UNIT))).alias("r_currency"),
+            stated_currency(unit_text(F.col("currency"))).alias("r_currency"),
             F.when((F.col("scale") > 0) & ~F.isnan("scale"), F.col("scale")).alias("r_scale"),
             F.coalesce(F.year("period_end"), F.col("year")).alias("r_year"),
         )

@@ -124,27 +124,36 @@ def peer_greedy(spark, sf_dir):
     return g.withColumn("band", P.business_band(F.col("score"), F.col("exact"), F.col("same_group")))
 
 
-#: Bounds, scale and weight of the ratios compared.
-SCALES = {"currentratio": (0.0, 10.0, 1.0, 0.55), "debttoequityparent": (-5.0, 10.0, 1.0, 0.80), "interestcoverageebit": (-20.0, 50.0, 5.0, 0.55), "roerunrate": (-1.0, 1.0, 0.10, 1.0), "fcfmarginytd": (-1.0, 1.0, 0.12, 0.90)}
+# Bounds, scale and weight of the ratios compared.
+SCALES = {
+    "ebit_margin": (-1.0, 1.0, 0.10, 1.00), "ebitda_margin": (-1.0, 1.5, 0.12, 1.00), "fcf_margin": (-1.5, 1.5, 0.12, 0.90), "capex_intensity": (0.0, 1.5, 0.08, 0.70), "cfo_to_ebitda": (-3.0, 5.0, 0.60, 0.70),
+    "current_ratio": (0.0, 8.0, 1.00, 0.55), "debt_to_equity": (-3.0, 10.0, 1.00, 0.80), "net_debt_to_ebitda": (-10.0, 15.0, 2.00, 1.00), "interest_coverage": (-10.0, 30.0, 5.00, 0.55),
+}
+#: Where each comes from: a metric, or a ratio of two; the tables' metrics lack some, which are then null.
+FEATURES = {
+    "ebit_margin": ("ebitytd", "salesrevenueytd"), "ebitda_margin": ("ebitdasimpleytd", "salesrevenueytd"), "fcf_margin": ("fcfmarginytd", None), "capex_intensity": ("capexytd", "salesrevenueytd"), "cfo_to_ebitda": ("operatingcashflowytd", "ebitdasimpleytd"),
+    "current_ratio": ("currentratio", None), "debt_to_equity": ("debttoequityparent", None), "net_debt_to_ebitda": ("netdebttoebitdarunrate", None), "interest_coverage": ("interestcoverageebit", None),
+}
 TARGET = "QJHGSC"
 
 
 def _features(spark, sf_dir):
     m = ranking.latest_metrics(metric_values(spark, sf_dir), ranking.preferred_reports(reports(spark, sf_dir)))
-    return m.groupBy(F.col("issuer").alias("ticker")).agg(*[F.max(F.when(F.col("metric") == k, F.col("value"))).alias(k) for k in [*SCALES, "totalassets"]])
+    names = sorted({x for pair in FEATURES.values() for x in pair if x})
+    w = m.groupBy(F.col("issuer").alias("ticker")).agg(*[F.max(F.when(F.col("metric") == k, F.col("value"))).alias(k) for k in names])
+    return w.select("ticker", *[(F.col(a) if b is None else E.ratio(F.col(a), F.col(b))).alias(k) for k, (a, b) in FEATURES.items()])
 
 
 def peer_fingerprint(spark, sf_dir):
-    f = P.fingerprint_similarity(_features(spark, sf_dir), TARGET, SCALES, least=3)
+    f = P.fingerprint_similarity(_features(spark, sf_dir), TARGET, SCALES)
     return f.select("ticker", F.round("similarity", 6).alias("similarity"), "common")
 
 
 def name_similarity(spark, sf_dir):
-    g = table(spark, sf_dir, "gleif_candidates")
-    sim = P.name_similarity(F.col("query_name"), F.col("legal_name"))
+    g = table(spark, sf_dir, "gleif_candidates").select("lei", "query_name", "legal_name", (F.col("query_country") != F.col("legal_address_country")).alias("conflict"))
     same = P.name_key(F.col("query_name")) == P.name_key(F.col("legal_name"))
-    out = g.select("lei", "query_name", "legal_name", sim.alias("similarity"), same.alias("same"), (F.col("query_country") != F.col("legal_address_country")).alias("conflict"))
-    return out.select("lei", "query_name", "legal_name", "similarity", P.candidate_class(F.col("same"), F.col("similarity"), F.col("conflict")).alias("class"))
+    out = P.name_similarities(g, "query_name", "legal_name")
+    return out.select("lei", "query_name", "legal_name", "similarity", P.candidate_class(same, F.col("similarity"), F.col("conflict")).alias("class"))
 
 
 def candidate_class(spark, sf_dir):
@@ -238,11 +247,12 @@ def _finger_sql() -> str:
         terms.append(f"CASE WHEN {there} THEN {a} * {w} ELSE 0 END")
         weights.append(f"CASE WHEN {there} THEN {w} ELSE 0 END")
         n.append(f"CAST({there} AS INT)")
-    pick = ", ".join(f"max(value) FILTER (metric = '{k}') AS {k}" for k in SCALES)
+    value = lambda m: f"max(value) FILTER (metric = '{m}')"
+    pick = ", ".join(f"{value(a)}{f' / nullif({value(b)}, 0)' if b else ''} AS {k}" for k, (a, b) in FEATURES.items())
     return f"""WITH {_REPORTS}, {_METRICS}, j AS (SELECT r.issuer, m.metric, m.value, row_number() OVER (PARTITION BY r.issuer, m.metric ORDER BY r.period_end DESC NULLS LAST, r.source_publish_date DESC NULLS LAST, m.local_path DESC) AS k
         FROM metric_values m JOIN ranked r ON r.local_path = m.local_path AND r.rk = 1),
       f AS (SELECT issuer AS ticker, {pick} FROM j WHERE k = 1 GROUP BY issuer), t AS (SELECT * FROM f WHERE ticker = '{TARGET}')
-      SELECT f.ticker, round(CASE WHEN {' + '.join(n)} >= 3 THEN ({' + '.join(terms)}) / nullif({' + '.join(weights)}, 0) * 100 END, 6) AS similarity, CAST({' + '.join(n)} AS INT) AS common FROM f, t WHERE f.ticker <> '{TARGET}'"""
+      SELECT f.ticker, round(CASE WHEN {' + '.join(n)} >= 4 THEN ({' + '.join(terms)}) / nullif({' + '.join(weights)}, 0) * 100 END, 6) AS similarity, CAST({' + '.join(n)} AS INT) AS common FROM f, t WHERE f.ticker <> '{TARGET}'"""
 
 
 _CLASS_SQL = " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{name}'" for name, words in CLASSES)
@@ -260,8 +270,7 @@ ORACLES = {
       SELECT s.start, array_to_string(f.path, ' > ') AS path, CAST(f.hops AS INT) AS hops FROM starts s LEFT JOIN f ON f.start = s.start AND f.hops = f.least""",
     "taxonomy_closure": """WITH RECURSIVE t AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, NULL FROM region),
       c AS (SELECT node, node AS ancestor, 0 AS depth, node AS path FROM t UNION ALL SELECT c.node, t.parent, c.depth + 1, c.path || '/' || t.parent FROM c JOIN t ON t.node = c.ancestor WHERE t.parent IS NOT NULL) SELECT node, ancestor, CAST(depth AS INT) AS depth, path FROM c""",
-    "parent_fill": f"""WITH {_CODES} SELECT pos, code, level, CASE level WHEN 2 THEN last_value(CASE WHEN level = 1 THEN code END IGNORE NULLS) OVER w WHEN 3 THEN last_value(CASE WHEN level = 2 THEN code END IGNORE NULLS) OVER w END AS parent FROM c
-      WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "parent_fill": f"""WITH {_CODES} SELECT pos, code, level, CASE WHEN level > 1 THEN (SELECT CASE WHEN arg_max(u.level, u.pos) = c.level - 1 THEN arg_max(u.code, u.pos) END FROM c u WHERE u.pos < c.pos AND u.level < c.level) END AS parent FROM c""",
     "level_counts": f"WITH {_CODES}, n AS (SELECT level, count(*) AS n FROM c GROUP BY 1), x(level, expected) AS (VALUES (1, 5), (2, 25), (3, 100), (4, 0)) SELECT CAST(coalesce(n.level, x.level) AS INT) AS level, coalesce(n, 0) AS n, CAST(coalesce(expected, 0) AS BIGINT) AS expected, coalesce(n = expected, false) AS ok FROM n FULL JOIN x ON x.level = n.level",
     "series_growth": f"WITH {_REV} SELECT a.p_type, a.year, a.value, CAST(round_even((a.value - b.value) / nullif(abs(b.value), 0) * 100, 4) AS DOUBLE) AS yoy FROM r a LEFT JOIN r b ON b.p_type = a.p_type AND b.year = a.year - 1",
     "series_direction": f"""WITH {_REV}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY p_type ORDER BY year) AS step FROM r),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,7 +83,7 @@ def directory_rows(pages: DataFrame, html: str = "html") -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def rows(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [r for t in tables_of(x, 1000, 10**6, 40, 10_000)[0] for r in t])
+        return s.map(lambda x: [r for t in tables_of(x, *[sys.maxsize] * 4)[0] for r in t])
 
     r = share_code(pages).select(F.explode(rows(html)).alias("r")).filter(F.size("r") >= 5)
     cell = lambda i: F.trim(F.try_element_at("r", F.lit(i + 1)))
@@ -118,12 +119,12 @@ XBRL = T.StructType().add("facts", T.MapType(T.StringType(), T.StructType().add(
 CORE_DIMENSIONS = ("concept", "entity", "period", "unit", "language", "noteId")
 
 
-def xbrl_facts(spark: SparkSession, path: str, max_bytes: int = 200 * 1024 * 1024) -> DataFrame:
+def xbrl_facts(spark: SparkSession, path: str) -> DataFrame:
     """(path, fact, concept, entity, unit, language, period_start, period_end, value, dimensions) of xBRL-JSON files, gzip too.
 
-    period_end is exclusive, as written; dimensions are those beyond the core ones. Larger files are left out.
+    period_end is exclusive, as written; dimensions are those beyond the core ones. A file of any size is read, as one record.
     """
-    j = spark.read.schema(XBRL).option("multiLine", "true").json(path).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).filter(F.col("size") <= max_bytes)
+    j = spark.read.schema(XBRL).option("multiLine", "true").json(path).select("*", F.col("_metadata.file_path").alias("path"))
     f = j.select("path", F.explode("facts").alias("fact", "f")).select("path", "fact", "f.value", F.col("f.dimensions").alias("d"))
     get = lambda k: F.try_element_at("d", F.lit(k))
     day = lambda i: F.try_to_timestamp(F.substring(F.try_element_at(F.split(get("period"), "/"), F.lit(i)), 1, 10), F.lit("yyyy-MM-dd")).cast("date")

@@ -211,7 +211,7 @@ STAFF_AT_END = (
 STAFF_GROUP, STAFF_COMPANY = ("grupa", "group", "koncern"), ("drustv", "company")
 NOTE_SHEETS = ("biljes", "note")
 _COUNT = r"\d{1,3}(?:[ .,\x{a0}]\d{3})+|\d{1,7}"
-#: Places beside and below a label where its number may be, with their worth: near ones and the same row first.
+# Worth of the places beside and below a label where its number may be, near ones and the same row first.
 _PLACES = [(0, d, 100 - d) for d in range(1, 7)] + [(r, c, 70 - 5 * r - c) for r in (1, 2) for c in range(4)]
 
 

@@ -257,3 +257,12 @@ def test_wide_found_keeps_a_metric_named_other(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/facts.parquet").limit(0).write.parquet(f"{tmp_path}/facts.parquet")
     spark.read.parquet(f"{sf}/metrics.parquet").limit(1).withColumns({"local_path": F.lit("p"), "metric_name": F.lit("Other"), "value": F.lit(2.0)}).write.parquet(f"{tmp_path}/metrics.parquet")
     assert [tuple(r) for r in corpus.p4_found(spark, str(tmp_path)).collect()] == [("p", "other", 2_000_000)]
+
+
+def test_units_of_any_length(spark):
+    fill = "in of " * 40
+    rows = [("(" + fill + "000 kn)",), ("u tis. kuna" + " " * 200_000,), (", " + "kn " * 20_000,), ("(" + fill + "kn i dionice)",), ("(keurs)",), ("",), (None,)]
+    d = spark.createDataFrame(rows, "t string")
+    label = units.whole_unit(units.label_marker(F.col("t")))
+    got = [(r.c, r.s, r.u) for r in d.select(units.stated_currency(label).alias("c"), units.stated_scale(label).alias("s"), units.whole_unit(units.unit_text(F.col("t"))).isNotNull().alias("u")).collect()]
+    assert got == [("HRK", 1000, True), (None, None, True), ("HRK", None, True), (None, None, False), (None, None, False), (None, None, False), (None, None, False)]

@@ -81,6 +81,34 @@ def test_shapes_closure_and_parents(spark):
     assert {r.code: r.parent for r in G.fill_parents(c, ["scheme"], "pos", "level", "code").collect()} == {"A": None, "01": "A", "01.1": "01", "02": "A", "B": None, "03": "B", "03.1": "03", "03.11": "03.1", "x": None}
 
 
+@pytest.mark.parametrize("codes", [["A", "01", "B", "01.1"], ["A", "01", "02.1"], ["01"]])
+def test_parents_that_do_not_fit_fail(spark, codes):
+    c = spark.createDataFrame([("n", i, code) for i, code in enumerate(codes)], "scheme string, pos int, code string").withColumn("level", G.code_level(F.col("code")))
+    with pytest.raises(Exception, match="no parent that fits"):
+        G.fill_parents(c, ["scheme"], "pos", "level", "code").collect()
+
+
+def test_detours_are_never_open(spark):
+    n = 400
+    e = spark.createDataFrame([(f"s:{i}", "n:1") for i in range(n)] + [("n:1", "r:1"), ("r:1", "w:1")], "src string, dst string")
+    s = e.filter("dst = 'n:1'").select(F.col("src").alias("start"))
+    assert {(r.hops, len(r.path)) for r in G.translations(e, s, "w").collect()} == {(3, 4)}
+    assert {r.hops for r in G.translations(e, s, "w", 2).collect()} == {None}
+
+
+def test_business_bands(spark):
+    rows = [(0.36, 0.35, 0.0, "STRONG"), (0.56, 0.1, 0.4, "STRONG"), (0.9, 0.0, 0.0, "WEAK"), (0.31, 0.0, 0.3, "MODERATE"), (0.2, 0.2, 0.0, "MODERATE"), (0.11, 0.0, 0.1, "WEAK"), (0.08, 0.08, 0.0, "WEAK"), (0.12, 0.0, 0.05, "WEAK"), (0.11, 0.05, 0.05, "REJECTED"), (0.0, 0.0, 0.0, "REJECTED")]
+    d = spark.createDataFrame(rows, "score double, exact double, same_group double, want string")
+    assert d.withColumn("got", similarity.business_band(F.col("score"), F.col("exact"), F.col("same_group"))).filter("got <> want").collect() == []
+
+
+def test_names_as_published(spark):
+    d = spark.createDataFrame([("Đuro d.d.", "uro d d"), ("–", "x"), ("A", None), ("Kraš", "Kras"), ("abcd", "bcde"), ("abcd", "bcde")], "a string, b string")
+    got = {(r.a, r.b): r.similarity for r in similarity.name_similarities(d, "a", "b").collect()}
+    assert got == {("Đuro d.d.", "uro d d"): 1.0, ("–", "x"): 0.0, ("A", None): None, ("Kraš", "Kras"): 1.0, ("abcd", "bcde"): 0.75}
+    assert similarity.name_similarities(d.limit(0), "a", "b").count() == 0
+
+
 def test_series_golden(spark):
     df = spark.createDataFrame([("s", 2023, 100.0), ("s", 2024, 120.0), ("s", 2025, 180.0), ("g", 2020, 1.0), ("g", 2022, 1.0), ("o", 2020, 1.0)], "k string, year int, value double")
     yoy = {(r.k, r.year): r.yoy for r in series.series_growth(df, ["k"]).collect()}

@@ -12,7 +12,7 @@ from finstrata.sources import landed, workbook
 @pytest.fixture(scope="module")
 def book(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("books")
-    workbooks.quarterly(d / "q1.xlsx")
+    workbooks.half_year(d / "h1.xlsx")
     (d / "broken.xlsx").write_bytes(b"PK not a zip")
     return workbook.cells(spark, str(d)).cache()
 
@@ -23,20 +23,21 @@ def test_workbook_header_and_facts(book):
     h = workbook.report_headers(book).collect()
     assert len(h) == 1
     r = h[0]
-    assert (r.issuer_name, str(r.period_start), str(r.period_end), r.year, r.quarter, r.consolidated, r.audited) == ("TESTCO d.d.", "2025-01-01", "2025-03-31", 2025, 1, 1, 0)
+    assert (r.issuer_name, str(r.period_start), str(r.period_end), r.year, r.quarter, r.consolidated, r.audited) == ("Luka Primjer d.d.", "2024-01-01", "2024-06-30", 2024, 2, 1, 0)
     facts = workbook.statement_facts(book, workbook.report_headers(book)).cache()
     assert workbook.repeated_facts(facts).count() == 0
     assert facts.filter("adp_code = 2 AND statement = 'balance_sheet'").count() == 0  # the row of column numbers
     cash = facts.filter("statement = 'balance_sheet' AND adp_code = 63 AND column_name = 'current_period'").first()
-    assert (cash.value, cash.unit, cash.source_row) == (20.0, "EUR", 8)
-    assert facts.filter("statement = 'cash_flow_direct'").count() == 6
+    assert (cash.value, cash.unit, cash.source_row) == (31.0, "EUR", 10)
+    assert facts.filter("statement = 'cash_flow_direct'").count() == 4
 
 
 def test_catalogue_of_a_workbook(book):
     h = workbook.report_headers(book)
     facts = workbook.statement_facts(book, h).withColumn("fact_id", F.monotonically_increasing_id()).withColumn("parsed_at", F.lit(None).cast("timestamp"))
     got = {r.metric: r.value for r in catalogue.metrics(S.fact_values(facts), h).collect()}
-    want = {"cash": 20, "gross_financial_debt_ex_other": 40, "net_debt_ex_other": 20, "sales_revenue_ytd": 50, "ebit_ytd": 15, "ebitda_simple_ytd": 20, "free_cash_flow_ytd": 8, "net_debt_to_ebitda_run_rate": 0.25, "interest_coverage_ebit": 7.5, "roe_run_rate": 32 / 47.5}
+    want = {"cash": 31, "gross_financial_debt_ex_other": 120, "net_debt_ex_other": 89, "sales_revenue_ytd": 180, "ebit_ytd": 30, "ebitda_simple_ytd": 45, "free_cash_flow_ytd": 17}
+    want |= {"net_debt_to_ebitda_run_rate": 89 / 90, "interest_coverage_ebit": 5, "roe_run_rate": 2 * 18 / ((150 - 12 + 140 - 10) / 2)}
     assert {k: got[k] for k in want} == pytest.approx(want)
     assert got["md_ebit_ytd"] is None
 
