@@ -27,8 +27,8 @@ from finstrata.session import share_code
 RUN = 12
 #: Words of a shingle.
 SHINGLE = 5
-#: Items whose texts sum up to more than this many bytes are joined by shuffle, not sent to every executor.
-MAX_SENT_BYTES = 16_000_000
+#: Items with more windows or bytes than this are joined by shuffle, not sent to every executor. A window takes some 400 bytes in a worker's index.
+MAX_SENT_WINDOWS, MAX_SENT_BYTES = 200_000, 16_000_000
 #: Words a worker remembers the hash of, before it starts anew.
 REMEMBERED = 500_000
 
@@ -150,28 +150,42 @@ def _joined(documents: DataFrame, items: DataFrame, run: int) -> DataFrame:
             yield _batch(rows, ["id", "m"], [pa.int64(), pa.int64()])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[tuple[int, str] | None, ItemIndex | None] = (None, None)  # rows of an item follow each other
         for b in batches:
             rows = []
             for d, text, i, item in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                rows += [(d, i, n) for _, _, n in ItemIndex([(i, item)], run).search([words(text)])]
+                if held[0] != (i, item):
+                    held = ((i, item), ItemIndex([(i, item)], run))
+                rows += [(d, i, n) for _, _, n in held[1].search([words(text)])]
             yield _batch(rows, ["doc_id", "item_id", "windows"], [pa.int64()] * 3)
 
     own = documents.mapInArrow(minima, "id bigint, m bigint").select(F.col("id").alias("doc_id"), "m")
     theirs = items.mapInArrow(minima, "id bigint, m bigint").select(F.col("id").alias("item_id"), "m")
     near = own.join(theirs, "m").select("doc_id", "item_id").distinct()
     texts = near.join(documents, "doc_id").join(items, "item_id").select("doc_id", "text", "item_id", "item")
-    return texts.mapInArrow(verify, _LEAKS)
+    return texts.sortWithinPartitions("item_id").mapInArrow(verify, _LEAKS)
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, run: int = RUN, max_sent_bytes: int = MAX_SENT_BYTES) -> DataFrame:
+def _windows(items: DataFrame, run: int) -> int:
+    """How many windows the items have in all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(sum(max(0, len(words(t)) - run + 1) for t in b.column(0).to_pylist()),)], ["n"], [pa.int64()])
+
+    return items.select("item").mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame, run: int = RUN, max_sent_bytes: int = MAX_SENT_BYTES, max_sent_windows: int = MAX_SENT_WINDOWS) -> DataFrame:
     """(doc_id, item_id, windows): each document and item that share a run of `run` words, and of how many windows.
 
     Null, empty and short texts match nothing; rows with a null id are left out; repeated rows give one
-    row, copies under another doc_id one each. Items of at most `max_sent_bytes` in all go to every executor,
+    row, copies under another doc_id one each. Items of at most `max_sent_bytes` and `max_sent_windows` in all go to every executor,
     which is checked before; more are joined by shuffle, with the same result.
     """
     docs = share_code(documents).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = eval_items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("item")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("item") + 64), F.lit(0))).first()[0]
-    hits = _sent(docs, [(r[0], r[1]) for r in items.collect()], run) if size <= max_sent_bytes else _joined(docs, items, run)
+    few = size <= max_sent_bytes and _windows(items, run) <= max_sent_windows
+    hits = _sent(docs, [(r[0], r[1]) for r in items.collect()], run) if few else _joined(docs, items, run)
     return hits.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"))

@@ -88,6 +88,7 @@ def test_leaks_against_brute_force(spark):
     sent = {(x.doc_id, x.item_id, x.windows) for x in leakage.leaks(d, q).collect()}
     joined = {(x.doc_id, x.item_id, x.windows) for x in leakage.leaks(d, q, max_sent_bytes=0).collect()}
     assert {x[:2] for x in sent} == want and sent == joined
+    assert {(x.doc_id, x.item_id, x.windows) for x in leakage.leaks(d, q, max_sent_windows=3).collect()} == sent
     assert leakage.leaks(d.limit(0), q).count() == leakage.leaks(d, q.limit(0)).count() == 0
 
 
