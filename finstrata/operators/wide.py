@@ -56,6 +56,12 @@ def known_attributes(resolved: DataFrame) -> list[str]:
     return sorted(got)
 
 
+def _typed(value: Column, kind: str, to: str) -> Column:
+    """`value` as `to`, null where it doesn't fit; a number with decimals is no whole number."""
+    cast = value.try_cast(to)
+    return F.when(value == F.floor(value), cast) if (kind, to) == ("double", "bigint") else cast
+
+
 def to_wide(resolved: DataFrame, attributes: list[str], types: dict[str, str] | None = None, entity: str = "local_path") -> DataFrame:
     """One row per entity: its id, a column per attribute (double unless `types` says otherwise) and cast_failures.
 
@@ -68,14 +74,13 @@ def to_wide(resolved: DataFrame, attributes: list[str], types: dict[str, str] |
         raise ValueError(f"no such types: {sorted(bad)}")
     by = resolved.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "value"))).alias("kv"))
     kind = dict(resolved.dtypes)["value"]
-    same = [a for a in attributes if types.get(a, "double") == kind]
-    cells = [F.try_element_at("kv", F.lit(a)).alias(a) if a in set(same) else F.try_element_at("kv", F.lit(a)).try_cast(types.get(a, "double")).alias(a) for a in attributes]
+    casts = [a for a in attributes if types.get(a, "double") != kind]
+    at = {a: F.try_element_at("kv", F.lit(a)) for a in attributes}
+    cell = {a: _typed(at[a], kind, types.get(a, "double")) if a in set(casts) else at[a] for a in attributes}
     known = F.array(*map(F.lit, attributes)) if attributes else F.array().cast("array<string>")
-    casts = [a for a in attributes if a not in set(same)]
-    failed = [F.struct(F.lit(a).alias("key"), F.try_element_at("kv", F.lit(a)).cast("string").alias("value"), F.try_element_at("kv", F.lit(a)).try_cast(types.get(a, "double")).isNull().alias("bad")) for a in casts]
-    empty = F.lit(None).cast("map<string,string>")
-    failures = F.map_from_entries(F.transform(F.filter(F.array(*failed), lambda x: x.bad & x.value.isNotNull()), lambda x: F.struct(x.key, x.value))) if failed else empty
-    return by.select(entity, *cells, failures.alias("cast_failures"), F.map_filter("kv", lambda k, _: ~F.array_contains(known, k)).alias("_other" if "other" in attributes else "other"))
+    failed = [F.struct(F.lit(a).alias("key"), at[a].cast("string").alias("value"), cell[a].isNull().alias("bad")) for a in casts]
+    failures = F.map_from_entries(F.transform(F.filter(F.array(*failed), lambda x: x.bad & x.value.isNotNull()), lambda x: F.struct(x.key, x.value))) if failed else F.lit(None).cast("map<string,string>")
+    return by.select(entity, *[c.alias(a) for a, c in cell.items()], failures.alias("cast_failures"), F.map_filter("kv", lambda k, _: ~F.array_contains(known, k)).alias("_other" if "other" in attributes else "other"))
 
 
 def cells(table: DataFrame, attributes: list[str], entity: str = "local_path") -> DataFrame:

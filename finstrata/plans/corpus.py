@@ -23,9 +23,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fact_id", F.round("amount").cast("bigint").alias("value_eur"))
 
 
+#: Attributes that count things; one with decimals is kept as a cast failure.
+COUNTS = {"berths": "bigint", "employeesperiodend": "bigint", "fleetunits": "bigint", "overnightstays": "bigint"}
+
+
 def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = wide.resolve(wide.pairs(table(spark, sf_dir, "facts"), table(spark, sf_dir, "metrics")))
-    return wide.to_wide(resolved, wide.known_attributes(resolved))
+    return wide.to_wide(resolved, wide.known_attributes(resolved), COUNTS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +50,13 @@ def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.history(table(spark, sf_dir, "securities"))
 
 
+def p2_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of each attribute on its own, whose boundaries united begin the versions."""
+    return hist.attribute_intervals(hist.snapshot_states(table(spark, sf_dir, "securities"))).select("ticker", "attribute", "valid_from", "valid_to", "key")
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_facts": p1_facts, "p2_found": p2_found, "p2_history": p2_history,
+    "p1_found": p1_found, "p1_facts": p1_facts, "p2_found": p2_found, "p2_history": p2_history, "p2_attributes": p2_attributes,
     "p3_found": p3_found, "p3_amounts": p3_amounts, "p4_found": p4_found, "p4_wide": p4_wide,
 }
 
@@ -71,18 +80,34 @@ def _unit_sql(x: str, name: str) -> str:
 
 _TICKER = "upper(regexp_replace(ticker, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g'))"
 
-ORACLES = {
-    "p2_found": f"""WITH s AS (
+_STATES = f"""WITH s AS (
         SELECT * FROM (SELECT {_TICKER} AS t, *, row_number() OVER (PARTITION BY {_TICKER}, updated_at ORDER BY ingested_at DESC, snapshot_id DESC) AS k FROM securities WHERE updated_at IS NOT NULL) WHERE k = 1 AND t <> ''),
-      n AS (SELECT t, updated_at, listed_quantity AS q,
+      n AS (SELECT t, updated_at, sector, listed_quantity AS q,
           nullif(trim(regexp_replace(replace(lower(strip_accents(sector)), 'đ', 'd'), '[\\s\\x{{00A0}}]+', ' ', 'g')), '') AS sec,
           CASE WHEN coalesce(regexp_replace(delisting_date, '\\s+', '', 'g'), '') IN ('', '-') THEN '-'
             WHEN regexp_matches(trim(delisting_date), '^\\d{{4}}-') THEN trim(delisting_date)
             ELSE strftime(make_date(CAST(regexp_extract(delisting_date, '(\\d{{4}})', 1) AS INT), CAST(regexp_extract(delisting_date, '^\\s*\\d+[./](\\d+)', 1) AS INT), CAST(regexp_extract(delisting_date, '^\\s*(\\d+)', 1) AS INT)), '%Y-%m-%d') END AS del
-        FROM s),
-      p AS (SELECT *, row_number() OVER w AS k, last_value(sec IGNORE NULLS) OVER b AS psec, last_value(q IGNORE NULLS) OVER b AS pq, last_value(del) OVER b AS pdel FROM n
-        WINDOW w AS (PARTITION BY t ORDER BY updated_at), b AS (PARTITION BY t ORDER BY updated_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        FROM s)"""
+_STARTS = """p AS (SELECT *, row_number() OVER w AS k, last_value(sec IGNORE NULLS) OVER b AS psec, last_value(q IGNORE NULLS) OVER b AS pq, last_value(del) OVER b AS pdel FROM n
+        WINDOW w AS (PARTITION BY t ORDER BY updated_at), b AS (PARTITION BY t ORDER BY updated_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+#: Each attribute's changes: stated values that differ from the one stated before.
+_LOG = """l AS (SELECT t, updated_at AS ts, 'sector' AS attribute, sec AS key, sector AS raw FROM n WHERE sec IS NOT NULL UNION ALL SELECT t, updated_at, 'listed_quantity', CAST(q AS VARCHAR), CAST(q AS VARCHAR) FROM n WHERE q IS NOT NULL
+        UNION ALL SELECT t, updated_at, 'delisting_date', del, del FROM n),
+      log AS (SELECT * FROM l QUALIFY key IS DISTINCT FROM lag(key) OVER (PARTITION BY t, attribute ORDER BY ts))"""
+
+
+def _held(attribute: str, value: str) -> str:
+    return f"(SELECT arg_max({value}, ts) FROM log WHERE log.t = v.t AND attribute = '{attribute}' AND (v.until IS NULL OR log.ts < v.until))"
+
+
+ORACLES = {
+    "p2_found": f"""{_STATES},
+      {_STARTS}
       SELECT t AS ticker, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS valid_from FROM p WHERE k = 1 OR coalesce(sec <> psec, false) OR coalesce(q <> pq, false) OR del <> pdel""",
+    "p2_attributes": f"""{_STATES}, {_LOG} SELECT t AS ticker, attribute, ts AS valid_from, lead(ts) OVER (PARTITION BY t, attribute ORDER BY ts) AS valid_to, key FROM log""",
+    "p2_history": f"""{_STATES}, {_LOG}, {_STARTS},
+      v AS (SELECT t, updated_at AS since, lead(updated_at) OVER (PARTITION BY t ORDER BY updated_at) AS until FROM p WHERE k = 1 OR coalesce(sec <> psec, false) OR coalesce(q <> pq, false) OR del <> pdel)
+      SELECT t AS ticker, since AS valid_from, until AS valid_to, {_held('sector', 'raw')} AS sector, CAST({_held('listed_quantity', 'raw')} AS BIGINT) AS listed_quantity, nullif({_held('delisting_date', 'key')}, '-') AS delisting_date FROM v""",
     "p3_found": f"""WITH r AS (SELECT local_path, max(CASE {" ".join(f"WHEN list_contains({v}, replace(lower(trim(currency)), '.', '')) THEN '{k}'" for k, v in _KNOWN.items())} END) AS r_c, max(scale) AS r_s, max(coalesce(year(period_end), year)) AS r_y FROM parsed_reports GROUP BY 1),
       f AS (SELECT fact_id, local_path, value, unit, regexp_extract(label, '(?:[(\\[][^()\\[\\]]*[)\\]]|(?:[,;:]|\\s[–-]\\s)[^,;:()\\[\\]–-]*)\\s*$') AS m FROM facts WHERE statement <> 'general_data' AND value IS NOT NULL),
       u AS (SELECT fact_id, local_path, value, {_unit_sql("nullif(trim(regexp_replace(m, '[,;:–()\\[\\]]', ' ', 'g')), '')", "l")}, {_unit_sql("nullif(trim(unit), '')", "u")} FROM f),

@@ -266,3 +266,9 @@ def test_units_of_any_length(spark):
     label = units.whole_unit(units.label_marker(F.col("t")))
     got = [(r.c, r.s, r.u) for r in d.select(units.stated_currency(label).alias("c"), units.stated_scale(label).alias("s"), units.whole_unit(units.unit_text(F.col("t"))).isNotNull().alias("u")).collect()]
     assert got == [("HRK", 1000, True), (None, None, True), ("HRK", None, True), (None, None, False), (None, None, False), (None, None, False), (None, None, False)]
+
+
+def test_counts_with_decimals_are_failures(spark):
+    rows = [("a", "n", 5.0), ("b", "n", 5.5), ("c", "x", 1.5), ("d", "n", 1e30)]
+    w = wide.to_wide(spark.createDataFrame(rows, "local_path string, attribute string, value double"), ["n", "x"], {"n": "bigint"})
+    assert {r.local_path: (r.n, r.x, r.cast_failures) for r in w.collect()} == {"a": (5, None, {}), "b": (None, None, {"n": "5.5"}), "c": (None, 1.5, {}), "d": (None, None, {"n": "1.0E30"})}
