@@ -4,6 +4,7 @@ import pytest
 import workbooks
 from pyspark.sql import functions as F
 
+from finstrata import cli
 from finstrata.operators import catalogue
 from finstrata.operators import statements as S
 from finstrata.sources import landed, workbook
@@ -42,6 +43,19 @@ def test_catalogue_of_a_workbook(book):
     assert got["md_ebit_ytd"] is None
 
 
+def test_parsing_stops_at_facts_stated_twice(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    workbooks.half_year(tmp_path / "in" / "h1.xlsx")
+    assert cli.main(["parse", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).filter("statement = 'cash_flow_direct'").count() == 4
+    monkeypatch.setitem(workbooks.PORT, "CF_I", [(20, "From operations", 0, 0), (20, "From operations", 1, 1)])
+    (tmp_path / "in2").mkdir()
+    workbooks.half_year(tmp_path / "in2" / "h2.xlsx")
+    with pytest.raises(ValueError, match="states twice"):
+        cli.main(["parse", str(tmp_path / "in2"), str(tmp_path / "out2")])
+    assert not (tmp_path / "out2").exists()
+
+
 def test_feed_items(spark):
     items = [{"id": 7, "issuerCode": "AAA", "publishDate": "2025-01-02", "files": [{"u": "/x/a.XLSX?v=1"}, {"u": "https://h.example/b.pdf"}, {"u": "https://h.example/b.pdf"}, {"u": "note"}]}, {"title": "no id", "b": 1}, 3]
     df = spark.createDataFrame([(json.dumps({"type": "reports", "items": items}),), ("{broken",), (None,)], "payload string")
