@@ -18,17 +18,31 @@ def shared_items(df: DataFrame, group: str, item: str) -> DataFrame:
     return d.alias("a").join(d.alias("b"), (F.col("a.i") == F.col("b.i")) & (F.col("a.g") < F.col("b.g"))).groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
+#: Groups of one class that are sent together to meet those of another.
+BLOCK = 256
+
+
 def overlaps(df: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, shared, only_a, only_b): how many items two groups (a < b) that share one have in common, and the items only either has, sorted.
 
-    Groups of one set of items are a class; classes meet over their items, and their members after.
+    Groups of one set of items are a class, named by its least member; classes meet over their items, once for either order.
+    Members follow in blocks, and blocks meet after the last shuffle, so no pair of groups is shuffled unless its class is as small, and no class is one task.
     """
     sets = df.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL").groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("items"))
-    keys = sets.select("items").distinct().select("items", F.explode("items").alias("i"))
-    met = keys.alias("x").join(keys.alias("y"), F.col("x.i") == F.col("y.i")).select(F.col("x.items").alias("xs"), F.col("y.items").alias("ys")).distinct()
-    told = met.select("xs", "ys", F.size(F.array_intersect("xs", "ys")).cast("bigint").alias("shared"), F.array_except("xs", "ys").alias("only_a"), F.array_except("ys", "xs").alias("only_b"))
-    pairs = told.join(sets.select(F.col("g").alias("a"), F.col("items").alias("xs")), "xs").join(sets.select(F.col("g").alias("b"), F.col("items").alias("ys")), "ys")
-    return pairs.filter("a < b").select("a", "b", "shared", "only_a", "only_b")
+    classes = sets.groupBy("items").agg(F.min("g").alias("x"), F.count(F.lit(1)).alias("n"))
+    blocks = sets.join(classes, "items").groupBy("x", F.pmod(F.xxhash64("g"), F.ceil(F.col("n") / BLOCK)).alias("k")).agg(F.collect_list("g").alias("members"))
+    keys = classes.select("x", F.explode("items").alias("i"))
+    met = keys.join(keys.select(F.col("x").alias("y"), "i"), "i").filter("x <= y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    told = met.join(classes.select("x", F.col("items").alias("xs")), "x").join(classes.select(F.col("x").alias("y"), F.col("items").alias("ys")), "y")
+    told = told.select("x", "y", "shared", F.array_except("xs", "ys").alias("only_x"), F.array_except("ys", "xs").alias("only_y"))
+    both = told.join(blocks, "x").join(blocks.select(F.col("x").alias("y"), F.col("k").alias("l"), F.col("members").alias("others")), "y").filter("x < y OR k <= l")
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y", "k", "l")  # few bytes that grow to all pairs: not to be coalesced into one task
+    pairs = both.withColumn("g", F.explode("members")).withColumn("h", F.explode("others")).filter("x < y OR k < l OR g < h")
+    first = F.col("g") < F.col("h")
+    return pairs.select(
+        F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"), "shared",
+        F.when(first, F.col("only_x")).otherwise(F.col("only_y")).alias("only_a"), F.when(first, F.col("only_y")).otherwise(F.col("only_x")).alias("only_b"),
+    )
 
 
 def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

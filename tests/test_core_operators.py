@@ -253,6 +253,19 @@ def test_overlaps_of_all_items_with_both_differences(spark):
     assert got == [("a", "b", 2, "", ""), ("a", "c", 1, "x", "z"), ("b", "c", 1, "x", "z")]
 
 
+def test_overlaps_of_a_hot_set_are_many_tasks(spark):
+    n = 1200
+    items = {**{f"h{i:04}": "xy" for i in range(n)}, "a": "xyz", "z": "y", "w": "v"}
+    df = spark.createDataFrame([(g, i) for g, s in items.items() for i in s], "g string, i string")
+    got = relational.overlaps(df, "g", "i")
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(tasks) == n * (n - 1) // 2 + 2 * n + 1
+    assert max(tasks) < 0.7 * sum(tasks)
+    want = {("a", "h0007"): (2, ["z"], []), ("a", "h1100"): (2, ["z"], []), ("h0007", "h1100"): (2, [], []), ("h0007", "z"): (1, ["x"], []), ("a", "z"): (1, ["x", "z"], [])}
+    assert {(r.a, r.b): (r.shared, r.only_a, r.only_b) for r in got.filter("a IN ('a', 'h0007') AND b IN ('h0007', 'h1100', 'z')").collect()} == want
+    assert got.filter("a >= b").count() == 0 and got.select("a", "b").distinct().count() == sum(tasks)
+
+
 def test_wide_found_keeps_a_metric_named_other(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/facts.parquet").limit(0).write.parquet(f"{tmp_path}/facts.parquet")
     spark.read.parquet(f"{sf}/metrics.parquet").limit(1).withColumns({"local_path": F.lit("p"), "metric_name": F.lit("Other"), "value": F.lit(2.0)}).write.parquet(f"{tmp_path}/metrics.parquet")
