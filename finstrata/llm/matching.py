@@ -9,6 +9,7 @@ the digits: where both sides show digits of a registration number, their agreeme
 
 No group is joined pair by pair: records alike in all attributes are a class of which two stand for all, as a third
 adds nothing to the knowledge that a partner isn't the only one; their digits still tell them apart.
+No join broadcasts a side (`merge` hints): each grows with the records, and the driver would hold what Spark takes for small.
 """
 
 from __future__ import annotations
@@ -205,11 +206,11 @@ def _digit_keys(registry: bool, shown: tuple[int, int]) -> Column:
 def _open_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """The records no pair holds yet, with `rep`: of those alike in core, attributes and whether they show digits, it is the one with the least or the greatest hash."""
     done = resolved.select(F.explode(F.array(F.struct(F.lit(True).alias("registry"), F.col("lei").alias("id")), F.struct(F.lit(False).alias("registry"), F.col("entity_id").alias("id")))).alias("x")).select("x.*")
-    left = records.join(done, ["registry", "id"], "left_anti")
+    left = records.join(done.hint("merge"), ["registry", "id"], "left_anti")
     row = F.struct(F.xxhash64("id").alias("h"), "id")
     two = left.groupBy("registry", "core", *ATTRIBUTES, F.coalesce("number", "head", "tail").isNotNull().alias("shows")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
     reps = two.select("registry", F.explode(F.array_distinct(F.array("lo.id", "hi.id"))).alias("id"), F.lit(True).alias("rep"))
-    return cut_lineage(left.join(reps, ["registry", "id"], "left"))
+    return cut_lineage(left.join(reps.hint("merge"), ["registry", "id"], "left"))
 
 
 def _core_pairs(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...], ...], shown: tuple[int, int]) -> DataFrame:  # noqa: E741
@@ -220,7 +221,7 @@ def _core_pairs(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...]
         each = each.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core", "k").distinct()  # few bytes that grow a hundredfold: not to be coalesced into one task
         return each.select(F.col("core").alias(name), "k", F.explode(pieces("core", n, registry)).alias("piece")).select(name, F.xxhash64("piece", "k").alias("h"))
 
-    return keyed(g, True, "g_core").join(keyed(l, False, "l_core"), "h").select("g_core", "l_core").distinct().filter(_same_but_for(n))
+    return keyed(g, True, "g_core").join(keyed(l, False, "l_core").hint("merge"), "h").select("g_core", "l_core").distinct().filter(_same_but_for(n))
 
 
 def _candidates(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...], ...], shown: tuple[int, int]) -> DataFrame:  # noqa: E741
@@ -233,12 +234,12 @@ def _candidates(g: DataFrame, l: DataFrame, n: int, rules: tuple[tuple[str, ...]
 
     def keyed(d: DataFrame, registry: bool, name: str) -> DataFrame:
         own, pair = ("g_core" if registry else "l_core"), ("g_core", "l_core") if n else ("core",)
-        rows = d.join(cores, F.col("core") == F.col(own)) if n else d
+        rows = d.join(cores.hint("merge"), F.col("core") == F.col(own)) if n else d
         keys = F.concat(F.when(F.col("rep"), _stated_keys(rules, registry)).otherwise(F.array().cast("array<bigint>")), _digit_keys(registry, shown))
         return rows.select("id", *pair, F.explode(keys).alias("k")).select(F.col("id").alias(name), F.xxhash64(*pair, "k").alias("h"))
 
-    pairs = keyed(g, True, "lei").join(keyed(l, False, "entity_id"), "h").select("lei", "entity_id").distinct()
-    both = pairs.join(g.alias("g"), F.col("g.id") == F.col("lei")).join(l.alias("l"), F.col("l.id") == F.col("entity_id"))
+    pairs = keyed(g, True, "lei").join(keyed(l, False, "entity_id").hint("merge"), "h").select("lei", "entity_id").distinct()
+    both = pairs.join(g.alias("g").hint("merge"), F.col("g.id") == F.col("lei")).join(l.alias("l").hint("merge"), F.col("l.id") == F.col("entity_id"))
     for k in ATTRIBUTES:
         both = both.filter(F.coalesce(F.col(f"g.{k}") == F.col(f"l.{k}"), F.lit(True)))
     equal = {k: F.coalesce(F.col(f"g.{k}") == F.col(f"l.{k}"), F.lit(False)).cast("int") for k in ATTRIBUTES}
@@ -260,7 +261,7 @@ def _mutual(p: DataFrame, rank: Column) -> DataFrame:
         top = p.groupBy(key).agg(F.max(F.struct("rank", h.alias("h"), other, "rule", "agree")).alias("hi"), F.max(F.struct("rank", F.bitwise_not(h).alias("h"), other)).alias("lo"))
         return top.filter(F.col(f"hi.{other}") == F.col(f"lo.{other}")).select(key, F.col(f"hi.{other}").alias(other), *[F.col(f"hi.{c}").alias(c) for c in (("rule", "agree") if key == "lei" else ())])
 
-    return best("lei", "entity_id").join(best("entity_id", "lei"), ["lei", "entity_id"])
+    return best("lei", "entity_id").join(best("entity_id", "lei").hint("merge"), ["lei", "entity_id"])
 
 
 def _precisions(p: DataFrame, least: float) -> dict[int, float]:
